@@ -56,6 +56,6 @@ def shingles(hashes: np.ndarray, by_text: np.ndarray, k: int = 5) -> tuple[np.nd
     out = np.zeros(len(at), np.uint64)
     left = np.repeat(count, runs)
     for j in range(k):
-        part = mix(padded[at + j] + _SHINGLE[j % 5] * np.uint64(j + 1)) * _SHINGLE[(j + 1) % 5]
+        part = mix(padded[at + j] + np.uint64(int(_SHINGLE[j % 5]) * (j + 1) % 2**64)) * _SHINGLE[(j + 1) % 5]
         out += np.where(short & (left <= j), np.uint64(0), part)
     return mix(out), first
