@@ -13,6 +13,8 @@ Bit plane p holds bit p of every id of its block. Any run of ids is read from th
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -127,44 +129,69 @@ class Reader:
         return got[0] if len(got) == 1 else np.concatenate(got)
 
 
-class WordIds(dict):
+#: Words that are one unit of the tokenizer as they stand: letters whose normal form in lower case is themselves.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for every byte: itself if printable, else the next one from 256 on."""
+    out, spare = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
+
+
+class WordIds:
     """Ids of a text as those of its words one after another, each word encoded once by the tokenizer and remembered.
 
-    Exact for a tokenizer that drops white space before it merges: none of its steps looks across ASCII white space.
+    Exact for a byte-level tokenizer that drops white space before it merges: none of its steps looks across ASCII white
+    space, nor from a letter into the marks after it. Plain words go to the tokenizer's model at once.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.known, self.letters = self.tokenizer.model, {}, _byte_letters()
 
     def text(self, raw: bytes) -> bytes:
-        words = raw.lower().split()
-        new = list(set(words).difference(self))
+        words, known = raw.lower().split(), self.known
+        new = [w for w in set(words) if w not in known]
         if new:
-            if len(self) > WORDS:
-                self.clear()
-                new = list(set(words))
-            self._learn(new)
-        return b"".join(map(self.__getitem__, words))
-
-    def _learn(self, words: list[bytes]) -> None:
-        parts, need = {}, set()
-        for w in words:
-            stem = w.rstrip(b".,!?;:")
-            if stem and stem != w and stem[-1:].isalnum():  # a letter ends one unit and the marks begin the next
-                parts[w] = (stem, w[len(stem) :])
-            else:
-                parts[w] = (w,)
-            need.update(x for x in parts[w] if x not in self)
-        need = list(need)
-        for w, e in zip(need, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in need], add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        for w, p in parts.items():
-            if len(p) > 1:
-                self[w] = self[p[0]] + self[p[1]]
+            if len(known) > WORDS:
+                known.clear()
+                new = set(words)
+            for w in new:
+                known[w] = self._word(w)
+        return b"".join(map(known.__getitem__, words))
+
+    def _word(self, w: bytes) -> bytes:
+        stem = w.rstrip(b".,!?;:")
+        if stem and stem != w and stem[-1:].isalnum():  # a letter ends one unit and the marks begin the next
+            out = self.known.get(stem)
+            if out is None:
+                out = self.known[stem] = self._encode(stem)
+            marks = w[len(stem) :]
+            if marks not in self.known:
+                self.known[marks] = self._encode(marks)
+            return out + self.known[marks]
+        return self._encode(w)
+
+    def _encode(self, w: bytes) -> bytes:
+        s = w.decode("utf-8", "replace")
+        low = s.lower()
+        if _PLAIN.fullmatch(low):
+            if not low.isascii():
+                low = "".join(map(self.letters.__getitem__, low.encode()))
+            ids = [t.id for t in self.model.tokenize(low)]
+        else:
+            ids = self.tokenizer.encode(s, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _FILES = "path string, shard long, docs long, ids long"
