@@ -49,7 +49,8 @@ def passages(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(doc[:-2] == doc[2:])
         grams = np.bincount(which[at] * BUCKETS + h[at], minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
     size = np.maximum(1, kinds.sum(1, keepdims=True))
-    peak = np.sqrt((grams * grams).sum(1, keepdims=True)) / size
+    total = grams.sum(1, keepdims=True)
+    peak = np.sqrt(np.maximum(0, (grams * grams).sum(1, keepdims=True) - total) / np.maximum(1, total * (total - 1)))  # chance that two trigrams agree
     return np.concatenate([np.sqrt(grams / size), kinds / size, peak, np.minimum(1, size / PASSAGE)], axis=1, dtype=np.float32), first
 
 
