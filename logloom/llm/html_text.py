@@ -135,24 +135,32 @@ def classify(found: list[tuple[str, int, bool, int]]) -> list[bool]:
             labels.append(True if article else None)
         else:
             labels.append(None if article else False)
-    out = [bool(x) for x in labels]
-    for i in [i for i, x in enumerate(labels) if x is None]:
-        here = found[i][3]
-        near: list[tuple[int, bool]] = []
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(found) and found[j][3] == here:
-                if labels[j] is not None and not (here and found[j][2]):
-                    near.append((abs(i - j), bool(labels[j])))
-                    break
-                j += step
-        if not near:
-            out[i] = bool(here)
+    # one sweep from each end finds the nearest decided block on that side; outside articles the page's ends count as no text
+    near: list[list[tuple[int, bool]]] = [[] for _ in found]
+    for step in (1, -1):
+        order, last = range(len(found))[::step], None
+        for n, i in enumerate(order):
+            here = found[i][3]
+            if n and found[order[n - 1]][3] != here:
+                last = None
+            elif n == 0 and not here:
+                last = (i - step, False)
+            if labels[i] is None:
+                if last is not None:
+                    near[i].append((abs(i - last[0]), last[1]))
+            elif not (here and found[i][2]):
+                last = (i, bool(labels[i]))
+    out = []
+    for (_, _, _, here), label, close in zip(found, labels, near):
+        if label is not None:
+            out.append(label)
+        elif not close:
+            out.append(bool(here))
         elif here:
-            out[i] = any(good for _, good in near)
+            out.append(any(good for _, good in close))
         else:
-            least = min(d for d, _ in near)
-            out[i] = all(good for d, good in near if d == least)
+            least = min(d for d, _ in close)
+            out.append(all(good for d, good in close if d == least))
     return out
 
 
