@@ -145,7 +145,7 @@ def _byte_letters() -> list[str]:
     return out
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of a text as those of its words one after another, each word encoded once by the tokenizer and remembered.
 
     Exact for a byte-level tokenizer that drops white space before it merges: none of its steps looks across ASCII white
@@ -155,32 +155,24 @@ class WordIds:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.known, self.letters = self.tokenizer.model, {}, _byte_letters()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def text(self, raw: bytes) -> bytes:
-        words, known = raw.lower().split(), self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > WORDS:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self._word(w)
-        return b"".join(map(known.__getitem__, words))
-
-    def _word(self, w: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, raw.lower().split()))
+
+    def __missing__(self, w: bytes) -> bytes:
+        if len(self) > WORDS:
+            self.clear()
         stem = w.rstrip(b".,!?;:")
         if stem and stem != w and stem[-1:].isalnum():  # a letter ends one unit and the marks begin the next
-            out = self.known.get(stem)
-            if out is None:
-                out = self.known[stem] = self._encode(stem)
-            marks = w[len(stem) :]
-            if marks not in self.known:
-                self.known[marks] = self._encode(marks)
-            return out + self.known[marks]
-        return self._encode(w)
+            out = self[stem] + self[w[len(stem) :]]
+        else:
+            out = self._encode(w)
+        self[w] = out
+        return out
 
     def _encode(self, w: bytes) -> bytes:
         s = w.decode("utf-8", "replace")
@@ -194,6 +186,16 @@ class WordIds:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _words(path: str) -> WordIds:
+    """One WordIds for all tasks of a Python worker: what a task has learned serves the next."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_logloom_words", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
 _FILES = "path string, shard long, docs long, ids long"
 
 
@@ -209,7 +211,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, count, writer = WordIds(tokenizer), TaskContext.get().partitionId(), 0, Writer()
+        words, part, count, writer = _words(tokenizer), TaskContext.get().partitionId(), 0, Writer()
 
         def flush():
             nonlocal count, writer
