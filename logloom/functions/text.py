@@ -121,10 +121,14 @@ def stable_token(prefix: str, value: Column, salt: str) -> Column:
     return F.concat(F.lit(f"<{prefix}_"), F.left(F.sha2(F.concat(F.lit(f"{salt}\0{prefix}\0"), value), 256), F.lit(20)), F.lit(">"))
 
 
+def _token_maker(prefix: str, salt: str) -> Callable[[Column], Column]:
+    return lambda match: stable_token(prefix, match, salt)
+
+
 def anonymize_text(c: Column, salt: str) -> Column:
     """JWTs, e-mail addresses, IP addresses and long hex strings as stable tokens, one kind after another."""
     for prefix, pattern in (("JWT", JWT), ("EMAIL", EMAIL), ("IP", IP), ("HEX", HEX)):
-        c = sub_each(c, pattern, lambda m, prefix=prefix: stable_token(prefix, m, salt))
+        c = sub_each(c, pattern, _token_maker(prefix, salt))
     return c
 
 
