@@ -30,8 +30,8 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_id (from 1), line, and decodes: whether the bytes were strict UTF-8. A lone carriage return ends no line."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
-    return with_ordinal(raw.withColumn("decodes", F.is_valid_utf8("line")), "line_id").select("line_id", "line", "decodes")
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.is_valid_utf8("value").alias("decodes"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return with_ordinal(raw, "line_id").select("line_id", "line", "decodes")
 
 
 def first_lines(lines: DataFrame, n: int) -> DataFrame:
