@@ -14,10 +14,18 @@ from logloom.llm.common import cut, read
 from logloom.llm.queries import TOKENIZER
 
 
+def _new(docs: DataFrame, name: str) -> str:
+    """name, or with underscores before it if docs has such a column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more."""
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
-    return quality.add_score(docs, model, column="_score").filter("_score >= 0.5").drop("_score")
+    score = _new(docs, "_score")
+    return quality.add_score(docs, model, column=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +45,9 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: complete epochs of a source repeat its documents."""
-    taken = cut(mixing.mix_sources(docs).filter("taken > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")), "taken")
-    out = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    copies, nth = _new(docs, "_copies"), _new(docs, "_nth")
+    taken = cut(mixing.mix_sources(docs).filter("taken > 0").groupBy("doc_id").agg(F.max("copies").alias(copies)), "taken")
+    out = docs.join(taken, "doc_id").withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return out.select(*docs.columns)
 
 
