@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import text as fx
-from logloom.operators import calibrate, cause, detect, features, localize, sessions, split, templates
+from logloom.operators import calibrate, cause, detect, features, localize, review, sessions, split, templates
 from logloom.sources import readers
 
 QUERIES: dict = {}
@@ -787,6 +787,99 @@ def ml13(spark, sf):
     return detect.score_rows(s, _INPUTS, model, "sgd_one_class_svm_score").select("tc_trace_id", "sgd_one_class_svm_score")
 
 
+@query("jn4_one_to_one", "SELECT doc_id, quality, length(text) AS n FROM labels JOIN documents USING (doc_id)")
+def jn4(spark, sf):
+    return review.join_one_to_one(table(spark, sf, "labels").select("doc_id", "quality"), table(spark, sf, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+
+
+@query("jn13_aligned_audit", "SELECT (SELECT count(*) FROM labels) AS in_all, (SELECT count(*) FROM documents) AS in_any, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS differing")
+def jn13(spark, sf):
+    return review.aligned_audit({"a": table(spark, sf, "documents"), "b": table(spark, sf, "labels")}, "doc_id", ("doc_id",))
+
+
+@query("jn17_train_normal", "SELECT doc_id, length(text) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0")
+def jn17(spark, sf):
+    s = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").otherwise("test").alias("split"), F.when(F.col("toxic") == 0, "Normal").otherwise("Anomaly").alias("label"))
+    return review.select_train_normal(table(spark, sf, "documents").select("doc_id", F.length("text").alias("n")), s, "doc_id")
+
+
+@query("jn18_subset", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def jn18(spark, sf):
+    return review.subset_check(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("st3_overlap", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def st3(spark, sf):
+    return review.overlap(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("ag33_id_frequency", with_sql(r"""
+, i AS (SELECT ordinal, message, unnest(regexp_extract_all(message, 'svc-\d+')) AS id FROM ev)
+SELECT id, count(DISTINCT ordinal) AS lines, count(*) AS mentions, min(message) AS example FROM i GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
+def ag33(spark, sf):
+    return review.id_frequency(adapted(spark, sf), "message", r"svc-\d+")
+
+
+@query("ag35_drill_down", """
+WITH p AS (SELECT '5' AS k UNION SELECT CAST(min(doc_id) AS VARCHAR) FROM labels WHERE toxic = 1 UNION SELECT CAST(min(doc_id) AS VARCHAR) FROM labels WHERE quality = 0)
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS nth FROM events JOIN p ON CAST(user_id AS VARCHAR) = k QUALIFY nth <= 8""")
+def ag35(spark, sf):
+    s = table(spark, sf, "labels").select(F.col("doc_id").alias("user_id"), F.when(F.col("toxic") == 1, "Anomaly").alias("label"), F.when(F.col("quality") == 0, "validation").alias("split"))
+    return review.drill_down(table(spark, sf, "events").select("user_id", "event_id"), s, "user_id", "event_id", "5")
+
+
+@query("ml15_frozen_evaluation", f"""
+WITH {_SCORES}, b AS (SELECT t, length(text) <= 500 OR doc_id % 9 = 0 AS base, score >= 0.9 AS model FROM s JOIN documents USING (doc_id)),
+r AS (SELECT 'baseline' AS rule, base AS p, t FROM b UNION ALL SELECT 'model', model, t FROM b UNION ALL SELECT 'either', base OR model, t FROM b),
+c AS (SELECT rule, count(*) AS n, count(*) FILTER (p AND t) AS tp, count(*) FILTER (NOT p AND NOT t) AS tn, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn FROM r GROUP BY 1)
+SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, (tp + fp) / n AS coverage FROM c""")
+def ml15(spark, sf):
+    s = scored(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.length("text").alias("length"), (F.col("doc_id") % 9 == 0).cast("int").alias("unk")), "doc_id")
+    return review.frozen_evaluation(s, F.col("t"), 500, "score", 0.9)
+
+
+@query("ml18_false_positives")
+def ml18(spark, sf):
+    return review.false_positive_strategies(scored(spark, sf), F.col("t"), "score", 0.7, F.col("doc_id") % 2 == 0, "score", 0.9)
+
+
+@query("ml24_compare_detectors")
+def ml24(spark, sf):
+    return review.compare_detectors(scored(spark, sf).withColumn("other", 1 - F.col("score")), F.col("t"), ["score", "other"])
+
+
+@query("ml26_pilot_report")
+def ml26(spark, sf):
+    p = prepared(spark, sf)
+    return review.pilot_report(templates.match(p, templates.mine(p)))
+
+
+@query("jn12_attach_vectors")
+def jn12(spark, sf):
+    c = table(spark, sf, "conversations")
+    vectors = features.embed(c, "text", features.hash_provider()).withColumn("text_hash", F.sha2("text", 256))
+    return review.attach_vectors(c, vectors, "text").select("conv_id", "turn", "text_hash", F.round(features.l2(F.col("vector")), 4).alias("norm"))
+
+
+@query("ml9_hybrid")
+def ml9(spark, sf):
+    v = table(spark, sf, "embeddings").withColumn("counts", F.array(F.col("label"), F.lit(1)))
+    return features.hybrid(v, "embedding", "counts").select("vec_id", F.size("hybrid").alias("size"))
+
+
+@query("ml23_review_sheet")
+def ml23(spark, sf):
+    e = evidence(spark, sf)
+    tops = localize.top_columns(localize.rank_signals(signals(spark, sf)), "tc_trace_id", "service", "candidate_rank")
+    return localize.agreement(cause.review_sheet(e.select("tc_trace_id"), tops, e).withColumn("root_service_manual", F.col("first_error_service"))).select("tc_trace_id", "observed_fact_automatic", "top_candidate_1", "root_in_top3", "root_candidate_rank")
+
+
+@query("ag22_confidence")
+def ag22(spark, sf):
+    h = cause.simple_hypotheses(evidence(spark, sf)).withColumn("root", F.col("first_error_service")).withColumn("traceability", F.lit(1.0))
+    return review.evaluate_by_confidence(h, "relative_confidence", "hypothesis_entity", "root", "traceability")
+
+
 @query("bench_order_traces", """
 SELECT l_orderkey, count(*) AS events, count(DISTINCT l_suppkey) AS services, count(*) FILTER (l_returnflag = 'R') AS errors, count(*) FILTER (l_returnflag = 'A') AS warns, min(l_linenumber) AS first_ordinal, max(l_linenumber) AS last_ordinal FROM lineitem GROUP BY 1""")
 def bench_orders(spark, sf):
