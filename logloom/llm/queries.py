@@ -82,6 +82,18 @@ scored AS (
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, round(dice, 6) AS dice FROM scored WHERE dice >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) = 1"""
 
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id, coalesce(k.n_links, 0) AS n_links
+FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1) m USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY 1) k USING (doc_id)"""
+
 _OP4 = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS body FROM pages),
@@ -91,4 +103,4 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
 FROM m"""
 
-ORACLES = {"op1_exact_dedup": _OP1, "op3_license_scan": _OP3, "op4_warc": _OP4}
+ORACLES = {"op1_exact_dedup": _OP1, "op2_ngram_jaccard": _OP2, "op3_license_scan": _OP3, "op4_warc": _OP4}
