@@ -55,6 +55,11 @@ def batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
+def own_key(chunk: int) -> int:
+    """The negative key under which a chunk's own row passes the owners: one of 2**30, so that chunks don't meet in a task."""
+    return -1 - ((chunk >> 32) * 1_000_003 + (chunk & 0xFFFFFFFF) * 7_919) % (1 << 30)
+
+
 def strip_spaces(col):
     """col without any of SPACES; null counts as empty."""
     return F.translate(F.coalesce(col, F.lit("")), SPACES, "")

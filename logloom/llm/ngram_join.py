@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import arrow, batch, cut, join_hot, slices
+from .common import arrow, batch, cut, join_hot, own_key, slices
 from .components import components
 from .exact_dedup import prune
 from .wordhash import shingles, words
@@ -97,7 +97,7 @@ class _Sender:
             base.append(every.tobytes())
         else:
             base.append(np.array([_key(s) for s in self.sets], np.int64).reshape(-1, 2).tobytes())
-        out = [(chunk, -1 - chunk % (1 << 30), b"".join(base), None)]
+        out = [(chunk, own_key(chunk), b"".join(base), None)]
         cuts = np.searchsorted(_owner(h, self.owners), np.arange(self.owners + 1, dtype=np.uint64))
         for o in range(self.owners):
             a, b = cuts[o], cuts[o + 1]
