@@ -30,17 +30,31 @@ def allocate(total: int, ratios: dict[str, Decimal] = RATIOS) -> dict[str, int]:
     return out
 
 
+def with_hash_rank(rows: DataFrame, group: Column, digest: Column, key: str, name: str = "_rank") -> DataFrame:
+    """rows with their rank by (digest, key) within the group and, in `<name>_of`, the group's size.
+
+    Groups may hold most rows: ranges of the digest's first four hex digits are ranked by themselves and moved up by what lies
+    before them, so a task orders a 65,536th of a group. Groups are few (labels), and so is what is broadcast: a row a range.
+    """
+    d = rows.withColumn("_g", group).withColumn("_d", digest).withColumn("_b", F.left("_d", F.lit(4)))
+    sizes = d.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(along), F.lit(0))).withColumn(f"{name}_of", F.sum("_n").over(Window.partitionBy("_g"))).drop("_n")
+    out = d.join(sizes.withColumnsRenamed({"_g": "_g2", "_b": "_b2"}), F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_b") == F.col("_b2"))).drop("_g2", "_b2")
+    return out.withColumn(name, F.col("_base") + F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_d", key))).drop("_g", "_d", "_b", "_base")
+
+
 def stratified_split(rows: DataFrame, key: str, label: str, salt: str, ratios: dict[str, Decimal] = RATIOS) -> DataFrame:
     """rows with `split`: within each label the ids are ordered by salted digest and dealt out by ratio.
 
-    Only ids and digests are ordered; one count per label reaches the driver.
+    One count per label reaches the driver.
     """
     validate_ratios(ratios)
     counts = {r[0]: allocate(r[1], ratios) for r in rows.groupBy(label).count().collect()}
     cuts = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.array(F.lit(v["train"]), F.lit(v["train"] + v["validation"])))]) if counts else F.create_map()
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(fx.stable_digest(F.col(key).cast("string"), salt), key))
     cut = cuts[F.col(label)]
-    return rows.withColumn("_rank", rank).withColumn("split", F.when(F.col("_rank") <= cut[0], "train").when(F.col("_rank") <= cut[1], "validation").otherwise("test")).drop("_rank")
+    ranked = with_hash_rank(rows, F.col(label), fx.stable_digest(F.col(key).cast("string"), salt), key)
+    return ranked.withColumn("split", F.when(F.col("_rank") <= cut[0], "train").when(F.col("_rank") <= cut[1], "validation").otherwise("test")).drop("_rank", "_rank_of")
 
 
 def contingency(rows: DataFrame, split: str = "split", label: str = "label", labels: tuple = ("Normal", "Anomaly")) -> DataFrame:
@@ -55,9 +69,8 @@ def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def hash_holdout(rows: DataFrame, key: str, label: Column, seed: str, share: float = 0.3) -> DataFrame:
     """rows with `holdout`: of each class the first `share` by hash order (rounded to whole rows)."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(f"{seed}\0"), F.col(key).cast("string")), 256), key))
-    return rows.withColumn("holdout", rank <= F.bround(F.count(F.lit(1)).over(w) * F.lit(share)))
+    ranked = with_hash_rank(rows, label, F.sha2(F.concat(F.lit(f"{seed}\0"), F.col(key).cast("string")), 256), key)
+    return ranked.withColumn("holdout", F.col("_rank") <= F.bround(F.col("_rank_of") * F.lit(share))).drop("_rank", "_rank_of")
 
 
 def sample_traces(sizes: DataFrame, key: str, rows: str, target: int, seed: str) -> DataFrame:
