@@ -52,8 +52,13 @@ def collapse(c: Column) -> Column:
 
 
 def sub_each(c: Column, pattern: str, make: Callable[[Column], Column]) -> Column:
-    """c with every match of pattern replaced by make(match)."""
-    return F.array_join(F.zip_with(F.split(c, pattern, -1), F.concat(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), make), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    """c with every match of pattern replaced by make(match). c is bound to a variable, so nested calls evaluate it once each."""
+
+    def each(x: Column) -> Column:
+        parts = F.zip_with(F.split(x, pattern, -1), F.concat(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), make), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+        return F.when(x.rlike(pattern), F.array_join(parts, "")).otherwise(x)
+
+    return F.element_at(F.transform(F.array(c), each), 1)
 
 
 def _chain(c: Column, *steps: tuple[str, str]) -> Column:
@@ -151,12 +156,11 @@ def analyze_document(c: Column) -> Column:
     """Each line's tokens, then its pairs of neighbours; pairs never cross lines and repeats stay."""
     lines = F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85  ]")
 
-    def both(line: Column) -> Column:
-        t = tokenize(line)
+    def both(t: Column) -> Column:
         n = F.greatest(F.size(t) - 1, F.lit(0))
         return F.concat(t, F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
 
-    return F.flatten(F.transform(lines, both))
+    return F.flatten(F.transform(F.transform(lines, tokenize), both))
 
 
 def normalize_message(c: Column) -> Column:
