@@ -1,12 +1,13 @@
 """License scan: normalised text against licence templates by the Dice coefficient of their sets of word bigrams.
 
 DataFrame functions only. A text's lines, and the text as a whole, are units. A unit whose set has a bigrams can reach the
-threshold t with a template of b bigrams only if t/(2-t) <= a/b <= (2-t)/t; and to reach it with any template at all, it must have
+threshold t with a template of b bigrams only if t/(2-t) <= a/b <= (2-t)/t and it shares t/(2-t) of the template's bigrams; and to reach it with any template at all, it must have
 t/(2-t) of its bigrams among those of all templates. Both bounds are checked before any Dice coefficient is worked out.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,23 @@ def bigrams(text: str) -> list[str]:
     return sorted(set(map(" ".join, zip(words, words[1:]))))
 
 
+def keys(grams: list[str], low: float) -> list[str]:
+    """Words and bigrams of which a text must hold one to share the part `low` of a template's bigrams.
+
+    What holds none of them shares only bigrams that no key touches, and these are too few. Long words come first.
+    """
+    left, spare, out = set(grams), math.ceil(len(grams) * low - 1e-9) - 1, []
+    words = sorted({w for g in grams for w in g.split() if len(w) > 6}, key=lambda w: (-sum(w in g.split() for g in grams), w))
+    for k in [*words, *sorted(grams, key=lambda g: (-len(g), g))]:
+        if len(left) <= spare:
+            break
+        touched = {g for g in left if g == k or k in g.split()}
+        if touched:
+            out.append(k)
+            left -= touched
+    return out
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
@@ -74,6 +92,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     least, most = min((len(x) for x in made.values()), default=1) * low, max((len(x) for x in made.values()), default=0) * high
     every = F.array(*[F.lit(x) for x in sorted({y for x in made.values() for y in x})]) if made else F.array().cast("array<string>")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    # most texts hold no key of any template and end here; the normalised text is bound once to a lambda's variable
+    wanted = F.array(*[F.lit(f" {k} ") for k in sorted({k for g in made.values() for k in keys(g, low)})]) if made else F.array().cast("array<string>")
+    norm = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD, " "), F.lit(" "))
+    docs = docs.filter(F.exists(F.transform(F.array(norm), lambda t: F.exists(wanted, lambda k: F.contains(t, k))), lambda b: b))
     # words of at least one character and a separator: a bound on the count of words that needs no splitting
     units = docs.select(F.col(id_col), F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array(F.col(text_col)), lines)).otherwise(F.concat(F.array(F.lit("")), lines))).alias("line_no", "unit"))
     units = units.filter(F.length("unit") >= 2 * least + 1).withColumn("words", _words(F.col("unit")))
