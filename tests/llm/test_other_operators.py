@@ -325,3 +325,13 @@ def test_licences(spark):
 
 def test_tokenizer_files_are_parameters():
     assert TOKENIZER == public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_keys_lose_nothing():
+    rng, low = random.Random(7), licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+    for text in licenses.TEMPLATES.values():
+        grams = licenses.bigrams(text)
+        keys = licenses.keys(grams, low)
+        for _ in range(100):
+            own = rng.sample(grams, math.ceil(low * len(grams) - 1e-9))  # the least that a match can share
+            assert any(k == g or k in g.split() for k in keys for g in own)
