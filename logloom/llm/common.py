@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 #: Characters that separate words and that normalised texts lack: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that the vectorised code works on at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +57,27 @@ def batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
+def tidy() -> None:
+    """Gives memory that is free back to the system: Python workers outlive their tasks, and several share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run):
+    """run, a function of batches, followed by tidy()."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def own_key(chunk: int) -> int:
     """The negative key under which a chunk's own row passes the owners: one of 2**30, so that chunks don't meet in a task."""
     return -1 - ((chunk >> 32) * 1_000_003 + (chunk & 0xFFFFFFFF) * 7_919) % (1 << 30)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices
+from .common import batch, slices, tidied
 from .golomb import mix
 from .wordhash import words
 
@@ -132,8 +132,8 @@ class Index:
             if len(hashes) >= m:
                 full = np.flatnonzero(sums[m:] - sums[:-m] >= c["least"])
                 full = full[text_of[full] == text_of[full + m - 1]]
-                for a in range(0, len(full), 50_000):
-                    starts = full[a : a + 50_000]
+                for a in range(0, len(full), 8_192):
+                    starts = full[a : a + 8_192]
                     found = self.keys(hashes, starts, m)
                     at = np.minimum(np.searchsorted(c["keys"], found), max(0, len(c["keys"]) - 1))
                     for r, j in zip(*np.nonzero(c["keys"][at] == found)):
@@ -196,7 +196,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     if hits:
                         yield batch(hits, _HITS)
 
-        found = rows.mapInArrow(run, _HITS)
+        found = rows.mapInArrow(tidied(run), _HITS)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("doc_id", id_col)
 
@@ -214,5 +214,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
                     keep[[t for t, *_ in index.search(raw, off)]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import arrow, batch, cut, join_hot, own_key, slices
+from .common import arrow, batch, cut, join_hot, own_key, slices, tidied, tidy
 from .components import components
 from .exact_dedup import prune
 from .wordhash import shingles, words
@@ -158,6 +158,8 @@ def _answer(full: bool):
             else:
                 data = np.bincount(np.frombuffer(r["extra"], np.uint16)[own > 1]).astype(np.uint32).tobytes()
             out.append((r["chunk"], r["owner"], zlib.compress(data, 1), None))
+        del coded, every, order, new, group, sizes, back, rows
+        tidy()
         return pa.Table.from_batches([batch(out, _MESSAGE)])
 
     return run
@@ -216,6 +218,8 @@ def _signatures(owners: int):
             kind += kinds + [1] * k
             cid.append(np.full(len(one) + k, c))
             size.append(np.full(len(one) + k, n))
+        del rows, order
+        tidy()
         if not sign:
             return arrow(_SIGNS).empty_table()
         return pa.Table.from_arrays([pa.array(np.concatenate(sign)), pa.array(kind, pa.int32()), pa.array(np.concatenate(cid)), pa.array(np.concatenate(size)), pa.array(np.concatenate(m))], schema=arrow(_SIGNS))
@@ -325,7 +329,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark: SparkSession = docs.sparkSession
     owners = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
-    sent = texts.mapInArrow(_send(owners, FP_BITS), _MESSAGE)
+    sent = texts.mapInArrow(tidied(_send(owners, FP_BITS)), _MESSAGE)
     sets = cut(sent.groupBy("owner").applyInArrow(_answer(False), _MESSAGE).groupBy("chunk").applyInArrow(_shared_counts, _TEXTS), "sets")
 
     classes = cut(sets.filter("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.max("shared").alias("shared")), "classes")
@@ -336,10 +340,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for part, raw, off in slices(b, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in _sets(raw, off)], pa.binary())], ["cid", "tokens"])
 
-    tokens = prune(texts, "doc_id", left.select("cid")).mapInArrow(whole, "cid long, tokens binary")
+    tokens = prune(texts, "doc_id", left.select("cid")).mapInArrow(tidied(whole), "cid long, tokens binary")
     full = cut(tokens.join(left, "cid").filter(F.octet_length("tokens") == 8 * F.col("n")).dropDuplicates(["cid", "tokens"]), "full")
 
-    messages = full.select("cid", "tokens").mapInArrow(_send_full(owners), _MESSAGE)
+    messages = full.select("cid", "tokens").mapInArrow(tidied(_send_full(owners)), _MESSAGE)
     signs = cut(messages.groupBy("owner").applyInArrow(_answer(True), _MESSAGE).groupBy("chunk").applyInArrow(_signatures(owners), _SIGNS), "signs")
     small = boundary(signs)
     # small sets meet under pairs; lists serve large sets and those small ones that a large one can link to

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidied
 
 #: Bytes of a passage, trigram buckets, kinds of bytes.
 PASSAGE, BUCKETS, KINDS = 512, 256, 8
@@ -149,7 +149,7 @@ def add_score(docs: DataFrame, model: dict, text_col: str = "text", column: str
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shards
-from .common import arrow, batch, cut
+from .common import arrow, batch, cut, tidied
 
 MAGIC = b"BPTK1\n\0\0"
 #: Ids in a block: a fixed size, a multiple of 8.
@@ -36,8 +36,8 @@ PLANES = 32
 SHARD_IDS = 1 << 24
 #: The id that ends a document.
 END_ID = 1
-#: Words whose ids a worker remembers.
-WORDS = 1 << 20
+#: Words whose ids a worker remembers, twice over: the latest ones and the ones before.
+WORDS = 1 << 18
 
 
 class Writer:
@@ -158,14 +158,19 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.letters, self.before = self.tokenizer.model, _byte_letters(), {}
 
     def text(self, raw: bytes) -> bytes:
         return b"".join(map(self.__getitem__, raw.lower().split()))
 
     def __missing__(self, w: bytes) -> bytes:
         if len(self) > WORDS:
+            self.before = dict(self)
             self.clear()
+        out = self.before.get(w)
+        if out is not None:
+            self[w] = out
+            return out
         stem = w.rstrip(b".,!?;:")
         if stem and stem != w and stem[-1:].isalnum():  # a letter ends one unit and the marks begin the next
             out = self[stem] + self[w[len(stem) :]]
@@ -229,7 +234,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         if writer.ids:
             yield flush()
 
-    return rows.mapInArrow(run, _FILES)
+    return rows.mapInArrow(tidied(run), _FILES)
 
 
 _DOCS = "shard long, at long, doc_id long, n_tokens long, ids_crc32 long"
@@ -254,7 +259,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     bases = files.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return content.mapInArrow(run, _DOCS).join(bases, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return content.mapInArrow(tidied(run), _DOCS).join(bases, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
