@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import arrow, batch, cut, join_hot, strip_spaces
+from .common import arrow, batch, cut, join_hot, own_key, strip_spaces, tidied
 
 #: Rows of one chunk: the unit that sends fingerprints and receives bitmaps.
 CHUNK_ROWS = 65_536
@@ -41,7 +41,7 @@ def _send(owners: int):
             distinct, times = np.unique(fps, return_counts=True)
             owner = ((distinct >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
             cuts = np.searchsorted(owner, np.arange(owners + 1, dtype=np.uint64))
-            out = [(chunk, -1 - chunk % (1 << 30), fps.tobytes(), table.column("row_id").to_numpy().tobytes(), b"".join(table.column("sha").to_pylist()), table.column("n").to_numpy().tobytes())]
+            out = [(chunk, own_key(chunk), fps.tobytes(), table.column("row_id").to_numpy().tobytes(), b"".join(table.column("sha").to_pylist()), table.column("n").to_numpy().tobytes())]
             for o in range(owners):
                 a, b = cuts[o], cuts[o + 1]
                 if b > a:
@@ -131,7 +131,7 @@ def prune(df: DataFrame, key: str, wanted: DataFrame, bits: int = BLOOM_BITS) ->
         for b in batches:
             yield b.filter(pa.array(bloom.has(b.column(key).fill_null(0).to_numpy(zero_copy_only=False))))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
