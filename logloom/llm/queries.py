@@ -22,7 +22,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+    return licenses.find_licenses(read(spark, sf_dir, "documents"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,3 +335,31 @@ def test_keys_lose_nothing():
         for _ in range(100):
             own = rng.sample(grams, math.ceil(low * len(grams) - 1e-9))  # the least that a match can share
             assert any(k == g or k in g.split() for k in keys for g in own)
+
+
+# licence passages
+
+
+def test_passages_in_longer_texts(spark):
+    import textwrap
+
+    rng, rows, want = random.Random(6), [], set()
+    noise = lambda n: " ".join(rng.choice([f"river{rng.randrange(999)}", "of the", "software", "permission", f"stone{rng.randrange(999)}"]) for _ in range(n))
+    for i, (name, t) in enumerate(sorted(licenses.TEMPLATES.items())):
+        rows.append((2 * i, noise(300) + "\n\n" + textwrap.fill(" ".join(t.split()), 76) + "\n\n" + noise(300), "s"))
+        rows.append((2 * i + 1, noise(200) + ". " + " ".join(t.split()) + " " + noise(200), "s"))
+        whole_line = len(t) <= 76 and len(textwrap.wrap(t, 76)) == 1
+        want |= {(2 * i + 1, 1, name)} | (set() if whole_line else {(2 * i, 3, name)})
+    rows += [(900, None, "s"), (901, "", "s"), (902, "two words", "s"), (903, licenses.TEMPLATES["MIT-text"], "s"), (904, "Released under the MIT License.", "s")]
+    twice = "see here. Released under the MIT License. and then " + noise(30)
+    rows += [(905, twice + "\n" + twice, "s"), (905, twice, "s")]
+    df = docs(spark, rows)
+    got = licenses.scan_passages(df).collect()
+    assert want <= {(r["doc_id"], r["line_no"], r["license"]) for r in got}
+    assert all(r["dice"] >= 0.8 for r in got)
+    assert sorted((r["doc_id"], r["line_no"], r["license"], r["dice"]) for r in got if r["doc_id"] >= 900) == [(905, 1, "MIT", 1.0), (905, 1, "MIT", 1.0), (905, 2, "MIT", 1.0)]
+    assert {(r["doc_id"], r["license"]) for r in got if r["doc_id"] < 900} == {(d, n) for d, _, n in want}
+    assert licenses.scan_passages(df, {}).collect() == []
+    units = licenses.scan_licenses(df).collect()
+    assert not {r["doc_id"] for r in units} & {d for d, _, _ in want if d % 2} and {903, 904} <= {r["doc_id"] for r in units}
+    assert sorted(map(tuple, licenses.find_licenses(df).collect())) == sorted(map(tuple, [*units, *got]))
