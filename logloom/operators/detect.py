@@ -20,6 +20,12 @@ def first_rows(df: DataFrame, key: str, columns: list[str], most: int = MOST_FIT
     return np.nan_to_num(rows[columns].to_numpy(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
 
 
+def drawn_rows(df: DataFrame, key: str, columns: list[str], most: int, seed: int = 42) -> np.ndarray:
+    """The `most` rows that come first by a hash of the key, as a matrix: a uniform draw that repeats."""
+    rows = df.select(key, *columns).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most).toPandas()
+    return np.nan_to_num(rows[columns].to_numpy(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+
+
 @dataclass
 class IsolationForest:
     """Isolation trees over samples of 256 rows (or fewer); score = 2 ** -(mean depth / expected depth), near 1 for outliers."""

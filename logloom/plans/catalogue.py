@@ -775,7 +775,7 @@ def ml11(spark, sf):
 def ml12(spark, sf):
     f = sessions.trace_features(adapted(spark, sf))
     s = features.scaler_apply(f, _INPUTS, features.scaler_fit(f, _INPUTS))
-    model = detect.OneClassSVM(nu=0.05).fit(detect.first_rows(s, "tc_trace_id", _INPUTS, 1000))
+    model = detect.OneClassSVM(nu=0.05).fit(detect.drawn_rows(s, "tc_trace_id", _INPUTS, detect.OneClassSVM.most))
     return detect.score_rows(s, _INPUTS, model, "one_class_svm_score").select("tc_trace_id", "one_class_svm_score")
 
 
@@ -783,7 +783,7 @@ def ml12(spark, sf):
 def ml13(spark, sf):
     f = sessions.trace_features(adapted(spark, sf))
     s = features.scaler_apply(f, _INPUTS, features.scaler_fit(f, _INPUTS))
-    model = detect.SGDOneClassSVM(epochs=2).fit(detect.first_rows(s, "tc_trace_id", _INPUTS, 5000))
+    model = detect.SGDOneClassSVM().fit(detect.first_rows(s, "tc_trace_id", _INPUTS))
     return detect.score_rows(s, _INPUTS, model, "sgd_one_class_svm_score").select("tc_trace_id", "sgd_one_class_svm_score")
 
 

@@ -269,3 +269,22 @@ def test_scheduler_boost_and_agreement(spark):
     assert top["entity"] == "scheduler" and top["explicit_scheduler_matches"] == 1
     sheet = spark.createDataFrame([("x", "y", "", "y"), ("x", "", "", "nenhum"), ("x", "", "", "q")], "top_candidate_1 string, top_candidate_2 string, top_candidate_3 string, root_service_manual string")
     assert [(r["root_in_top3"], r["root_candidate_rank"]) for r in localize.agreement(sheet).collect()] == [("sim", "2"), ("", ""), ("nao", "")]
+
+
+def test_one_class_queries_fit_on_the_documented_rows(spark, monkeypatch):
+    from logloom.plans import catalogue
+
+    n, seen = 25_000, []
+    columns = [F.when(F.col("id") < 5000, 0.0).otherwise(F.col("id") % 7 + F.lit(1 + i)).cast("double").alias(c) for i, c in enumerate(catalogue._INPUTS)]
+    traces = spark.range(n).select(F.format_string("t%05d", "id").alias("tc_trace_id"), *columns)
+    monkeypatch.setattr(catalogue, "adapted", lambda *a: traces)
+    monkeypatch.setattr(catalogue.sessions, "trace_features", lambda x: x)
+    for kind in (detect.OneClassSVM, detect.SGDOneClassSVM):
+        monkeypatch.setattr(kind, "fit", lambda self, x: seen.append((self, x)) or self)
+    monkeypatch.setattr(detect, "score_rows", lambda df, columns, model, name: df.withColumn(name, F.lit(0.0)))
+    catalogue.QUERIES["ml12_one_class_svm"](spark, "")
+    catalogue.QUERIES["ml13_sgd_one_class_svm"](spark, "")
+    (_, drawn), (linear, first) = seen
+    low = drawn[:, 0].min()
+    assert len(drawn) == 20_000 and 0.17 < (drawn[:, 0] == low).mean() < 0.23
+    assert len(first) == n and linear.epochs == 20
