@@ -28,6 +28,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+PIECE = re.compile(rf"[A-Za-z0-9]{{{LEAST},}}")
 KINDS = ("assign", "access", "hex", "token")
 
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
@@ -45,14 +46,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _ordinary(s: str, known: frozenset[str]) -> bool:
+    """No letters, or a digest, UUID, identifier or known string."""
+    return not re.search("[A-Za-z]", s) or bool(_DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _NAME.fullmatch(s)) or s in known
+
+
+def _windows(s: str, lengths: list[int], known: frozenset[str], ratio: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of the joined windows of tokens, each just LEAST characters or more, that are below the ratio and not ordinary.
+
+    Tokens of three characters and more and separators at both ends are left off.
+    """
+    ends, joined, last = [0], [], 0
+    for n in lengths:
+        ends.append(ends[-1] + n)
+    for first in range(len(lengths)):
+        while last < len(lengths) and ends[last] - ends[first] < LEAST:
+            last += 1
+        i, j = ends[first], ends[last]
+        if j - i < LEAST:
+            break
+        if j - i < ratio * (last - first) and not _ordinary(s[i:j], known):
+            if joined and first <= joined[-1][1]:
+                joined[-1][1] = last
+            else:
+                joined.append([first, last])
+    for first, last in joined:
+        part = [k for k in range(first, last) if lengths[k] < 3 and s[ends[k] : ends[k + 1]].strip("/=_-+")]
+        if part:
+            yield ends[part[0]], ends[part[-1] + 1]
+
+
 def random_spans(text: str, count_tokens, known: frozenset[str] = frozenset(), ratio: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    found = []
+    """Runs below the ratio; of other runs the pieces between / = _ - + and the windows of tokens below it, joined where they overlap.
+
+    count_tokens: string to number of tokens; windows are looked at if it has `lengths`, string to characters of each token.
+    """
+    found, lengths = [], getattr(count_tokens, "lengths", None)
     for m in RUN.finditer(text):
-        s = m[0]
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or _DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _NAME.fullmatch(s) or s in known:
+        s, at = m[0], m.start()
+        if _ordinary(s, known):
             continue
         if len(s) < ratio * count_tokens(s):
-            found.append((m.start(), 3, m.end()))
+            found.append((at, 3, m.end()))
+            continue
+        taken, own = [u.span() for u in _UUID.finditer(s)], []  # no windows across what is taken
+        for p in PIECE.finditer(s):
+            if _DIGEST.fullmatch(p[0]) or p[0] in known:
+                taken.append(p.span())
+            elif not _ordinary(p[0], known) and len(p[0]) < ratio * count_tokens(p[0]):
+                own.append(p.span())
+        if lengths:
+            start = 0
+            for a, b in sorted([*taken, (len(s), len(s))]):
+                if a - start >= LEAST:
+                    own += [(start + i, start + j) for i, j in _windows(s[start:a], lengths(s[start:a]), known, ratio)]
+                start = max(start, b)
+        end = -1
+        for a, b in sorted(own):
+            if a < end:
+                found[-1] = (found[-1][0], 3, at + max(end, b))
+            else:
+                found.append((at + a, 3, at + b))
+            end = max(end, b)
     return found
 
 
@@ -60,12 +115,24 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _counter(ranks_path: str, pattern: str):
-    import tiktoken
+class _Counter:
+    """Counts the tokens of a string."""
+
+    def __init__(self, ranks_path: str, pattern: str) -> None:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
+        self.enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, s: str) -> int:
+        return len(self.enc.encode_ordinary(s))
+
+    def lengths(self, s: str) -> list[int]:
+        """Bytes of each token: characters where s is ASCII."""
+        return [len(self.enc.decode_single_token_bytes(t)) for t in self.enc.encode_ordinary(s)]
+
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda s: len(enc.encode_ordinary(s))
+_counter = _Counter
 
 
 _OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

@@ -363,3 +363,28 @@ def test_passages_in_longer_texts(spark):
     units = licenses.scan_licenses(df).collect()
     assert not {r["doc_id"] for r in units} & {d for d, _, _ in want if d % 2} and {903, 904} <= {r["doc_id"] for r in units}
     assert sorted(map(tuple, licenses.find_licenses(df).collect())) == sorted(map(tuple, [*units, *got]))
+
+
+# random strings within longer runs
+
+
+def test_random_strings_joined_to_words():
+    rng, count = random.Random(4), secrets._counter(RANKS, PATTERN)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def caught(alphabet, n, before, after=""):
+        hits = 0
+        for _ in range(200):
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            i = len(before)
+            spans = secrets.random_spans(before + key + after, count)
+            hits += any(a < i + n and b > i and min(b, i + n) - max(a, i) >= 0.8 * n for a, _, b in spans)
+        return hits / 200
+
+    for before in ("", "/account/verification/", "download/documents/shared/", "authorization/callback/code="):
+        assert caught(letters + "0123456789", 24, before) >= 0.97
+        assert caught(letters, 24, before) >= 0.9
+    assert caught(letters + "0123456789-_", 40, "authorization/callback/documents/shared/verification/code=") >= 0.9
+    digest, uuid = hashlib.sha256(b"x").hexdigest(), "123e4567-e89b-12d3-a456-426614174000"
+    for s in ("account/verification/documents/shared/download/page", f"account/verification/documents/shared/download/information/international/environment/{digest}", f"account/verification/information/international/{uuid}", "getAccountVerificationDocuments", "pneumonoultramicroscopicsilicovolcanoconiosis"):
+        assert secrets.random_spans(s, count) == []
