@@ -53,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_output.token_output(docs, TOKENIZER)
+    return token_output.token_output(docs, TOKENIZER, added=True)
 
 
 STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", one_of_each), ("benchmark decontamination", no_leaks), ("mixing sources to target weights", mix), ("token-ID / binary output", to_tokens)]

@@ -30,7 +30,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_output(read(spark, sf_dir, "documents"), TOKENIZER)
+    return token_output.token_output(read(spark, sf_dir, "documents"), TOKENIZER, added=True)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

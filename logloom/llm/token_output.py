@@ -149,19 +149,33 @@ class WordIds(dict):
     """Ids of a text as those of its words one after another, each word encoded once by the tokenizer and remembered.
 
     Exact for a byte-level tokenizer that drops white space before it merges: none of its steps looks across ASCII white
-    space, nor from a letter into the marks after it. Plain words go to the tokenizer's model at once.
+    space, nor from a letter into the marks after it. Plain words go to the tokenizer's model at once. With added, texts that
+    hold a token added to the vocabulary (in any case) are encoded whole by the tokenizer as it is read; without, such tokens are words.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.path, self.whole = path, None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model, self.letters, self.before = self.tokenizer.model, _byte_letters(), {}
 
     def text(self, raw: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, raw.lower().split()))
+        low = raw.lower()
+        if any(t in low for t in self.added):
+            return self._whole(raw)
+        return b"".join(map(self.__getitem__, low.split()))
+
+    def _whole(self, raw: bytes) -> bytes:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        ids = self.whole.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, w: bytes) -> bytes:
         if len(self) > WORDS:
@@ -191,24 +205,24 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _words(path: str) -> WordIds:
+def _words(path: str, added: bool) -> WordIds:
     """One WordIds for all tasks of a Python worker: what a task has learned serves the next."""
     import tokenizers
 
     kept = vars(tokenizers).setdefault("_logloom_words", {})
-    if path not in kept:
-        kept[path] = WordIds(path)
-    return kept[path]
+    if (path, added) not in kept:
+        kept[path, added] = WordIds(path, added)
+    return kept[path, added]
 
 
 _FILES = "path string, shard long, docs long, ids long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, added: bool = False) -> DataFrame:
     """Encodes texts and writes shard files in ascending id order; returns one row per file: path, shard, docs, ids.
 
     Null text counts as empty and still has its end id; a null id counts as the smallest long. Rows with equal ids are
-    ordered by text. No rows, no files. The rows are dealt out by ranges of (id, text), so that no task has more than its share.
+    ordered by text. added: tokens added to the vocabulary get their own ids, as in the library's default. No rows, no files. The rows are dealt out by ranges of (id, text), so that no task has more than its share.
     """
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -216,7 +230,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, count, writer = _words(tokenizer), TaskContext.get().partitionId(), 0, Writer()
+        words, part, count, writer = _words(tokenizer, added), TaskContext.get().partitionId(), 0, Writer()
 
         def flush():
             nonlocal count, writer
@@ -262,7 +276,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     return content.mapInArrow(tidied(run), _DOCS).join(bases, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, added: bool = False) -> DataFrame:
     """Writes docs as token files in the shared folder and returns what reading them back gives. See write_tokens for edge cases."""
     folder = shards.new_folder(docs.sparkSession, "tokens")
-    return read_tokens(cut(write_tokens(docs, folder, tokenizer, id_col, text_col, end_id), "shards"))
+    return read_tokens(cut(write_tokens(docs, folder, tokenizer, id_col, text_col, end_id, added), "shards"))

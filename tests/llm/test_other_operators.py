@@ -388,3 +388,20 @@ def test_random_strings_joined_to_words():
     digest, uuid = hashlib.sha256(b"x").hexdigest(), "123e4567-e89b-12d3-a456-426614174000"
     for s in ("account/verification/documents/shared/download/page", f"account/verification/documents/shared/download/information/international/environment/{digest}", f"account/verification/information/international/{uuid}", "getAccountVerificationDocuments", "pneumonoultramicroscopicsilicovolcanoconiosis"):
         assert secrets.random_spans(s, count) == []
+
+
+# added tokens in texts
+
+
+def test_token_query_gives_added_tokens_their_ids(spark, tmp_path):
+    import corpus_pipeline
+    from logloom.llm.queries import QUERIES
+
+    texts = ["a <|endoftext|> b", "a<|startoftext|>b c<|endoftext|>", "A <|EndOfText|> B", "<|endoftext|", "no such tokens, it's plain", "é <|endoftext|><|endoftext|>\n x", None]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(TOKENIZER)
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for got in (QUERIES["op5_token_output"](spark, str(tmp_path)), corpus_pipeline.to_tokens(spark, df, str(tmp_path))):
+        assert [(r["n_tokens"], r["ids_crc32"]) for r in got.orderBy("doc_id").collect()] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+    assert 49407 in want[0]
