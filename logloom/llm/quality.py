@@ -124,7 +124,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     short = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS)
-    pick = F.broadcast(marks.orderBy(F.xxhash64(F.lit(11), F.col(id_col)), id_col).limit(2 * most))  # twice as many: not all need be among docs
+    there = short.select(F.col(id_col).cast("long").alias("_there"))
+    marks = marks.join(there, F.col(id_col).cast("long") == F.col("_there"), "left_semi")  # labels may be of a larger corpus
+    pick = F.broadcast(marks.orderBy(F.xxhash64(F.lit(11), F.col(id_col)), id_col).limit(2 * most))
     rows = short.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(pick.select(F.col(id_col).cast("long").alias("id"), "y"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -405,3 +405,18 @@ def test_token_query_gives_added_tokens_their_ids(spark, tmp_path):
     for got in (QUERIES["op5_token_output"](spark, str(tmp_path)), corpus_pipeline.to_tokens(spark, df, str(tmp_path))):
         assert [(r["n_tokens"], r["ids_crc32"]) for r in got.orderBy("doc_id").collect()] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
     assert 49407 in want[0]
+
+
+# labels of a larger corpus
+
+
+def test_learns_where_most_labels_are_of_other_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda bags, y: seen.append(sorted(y.tolist())) or {})
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    learned = [r["doc_id"] for r in labels.filter(~quality.held_out(F.col("doc_id"))).collect()][-40:]
+    df = docs(spark, [(i, f"text {i} of some words", "s") for i in learned])
+    quality.learn(df, labels, most=30)
+    assert len(seen[0]) == 30
+    quality.learn(df, labels, most=50)
+    assert seen[1] == sorted(float(i % 2) for i in learned)
