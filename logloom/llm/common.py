@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,19 +16,37 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words and that normalised texts lack: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
-#: Bytes of text that the vectorised code works on at once.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that the vectorised code works on at once, and about the most bytes of an Arrow batch.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+#: Rows whose fingerprints go to one owner, about.
+OWNER_ROWS = 8192
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new temporary one only where that is unset (one machine, tests)."""
+    """The folder of spark.checkpoint.dir; a new temporary one only where that is unset on one machine (tests). Raises on a cluster without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="logloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session is made to bound Arrow batches by bytes, not by rows alone: 10,000 rows of text may be any size, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+    return df
+
+
+def owners_for(df: DataFrame) -> int:
+    """Owners of fingerprint ranges: enough that each has those of some thousand rows, however many rows df has."""
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // OWNER_ROWS)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing uses yet."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -19,9 +19,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def put(folder: str, name: str, data: bytes) -> str:
-    """Writes data under a name of this attempt, then renames: a retried or speculative task leaves one whole file. Returns its path."""
-    part = f".{name}.{TaskContext.get().taskAttemptId()}"
-    if urlparse(folder).scheme in ("", "file"):
+    """Writes data as name, in which {} is the number of this attempt: a retried or speculative task never touches another's files. Returns the path.
+
+    Only the paths that successful tasks returned count; files of other attempts may lie beside them.
+    """
+    name = name.format(TaskContext.get().taskAttemptId())
+    part = f".{name}.part"
+    if urlparse(folder).scheme in ("", "file"):  # the folder of spark.checkpoint.dir, which all executors share
         base = urlparse(folder).path
         with open(f"{base}/{part}", "wb") as f:
             f.write(data)
