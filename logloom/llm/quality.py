@@ -12,13 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, tidied
+from .common import bounded, slices, tidied
 
 #: Bytes of a passage, trigram buckets, kinds of bytes.
 PASSAGE, BUCKETS, KINDS = 512, 256, 8
-#: The labelled sample to learn from: at most so many documents, none longer than so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 200_000
+#: The labelled sample to learn from: at most so many documents, and as many of these as have so many passages together (54 MB).
+SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 100_000
 HIDDEN, GATE = 24, 12
 FEATURES = BUCKETS + KINDS + 2
 
@@ -71,6 +72,25 @@ def score(m: dict, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return _forward(m, x, first)[-1].astype(np.float64)
 
 
+def gradients(m: dict, passed: tuple, y: np.ndarray, first: np.ndarray) -> dict:
+    """The gradients of the mean log loss after a forward pass."""
+    x, h, t, s, a, z, p = passed
+    g, count = {}, np.diff(first)
+    dp = ((p - y) / len(y)).astype(h.dtype)
+    g["c"], g["d"] = z.T @ dp, np.array([dp.sum()], h.dtype)
+    dz = np.repeat(dp[:, None] * m["c"], count, axis=0)
+    dh = a[:, None] * dz
+    da = (dz * h).sum(1)
+    da = a * (da - np.repeat(np.add.reduceat(a * da, first[:-1]), count))
+    g["w"] = (t * s).T @ da
+    dts = da[:, None] * m["w"]
+    dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
+    g["V"], g["U"] = h.T @ dt, h.T @ ds
+    dh = (dh + dt @ m["V"].T + ds @ m["U"].T) * (1 - h * h)
+    g["W"], g["b"] = x.T @ dh, dh.sum(0)
+    return g
+
+
 def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 5, epochs: int = 25, rate: float = 0.01, batch: int = 64, decay: float = 1e-4) -> dict:
     """Adam on the log loss of the documents. With no label to learn from, every score is 0.5."""
     rng = np.random.default_rng(seed)
@@ -88,20 +108,8 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 5, epochs: int = 25
             pick = order[i : i + batch]
             count = np.array([len(bags[j]) for j in pick])
             first = np.concatenate([[0], np.cumsum(count)])
-            x, h, t, s, a, z, p = _forward(m | fixed, np.concatenate([bags[j] for j in pick]), first)
-            g = {}
-            dp = ((p - y[pick]) / len(pick)).astype(np.float32)
-            g["c"], g["d"] = z.T @ dp, np.array([dp.sum()], np.float32)
-            dz = np.repeat(dp[:, None] * m["c"], count, axis=0)
-            dh = a[:, None] * dz
-            da = (dz * h).sum(1)
-            da = a * (da - np.repeat(np.add.reduceat(a * da, first[:-1]), count))
-            g["w"] = (t * s).T @ da
-            dts = da[:, None] * m["w"]
-            dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
-            g["V"], g["U"] = h.T @ dt, h.T @ ds
-            dh = (dh + dt @ m["V"].T + ds @ m["U"].T) * (1 - h * h)
-            g["W"], g["b"] = x.T @ dh, dh.sum(0)
+            passed = _forward(m | fixed, np.concatenate([bags[j] for j in pick]), first)
+            g = gradients(m, passed, y[pick], first)
             step += 1
             now = rate * (1 - epoch / epochs)
             for k in m:
@@ -113,30 +121,38 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 5, epochs: int = 25
 
 
 def held_out(doc_id):
-    return F.crc32(F.coalesce(doc_id, F.lit("")).cast("string").cast("binary")) % 3 == 1
+    """Whether crc32 of the id as text leaves 1 when divided by 3; a null id counts as no text, which leaves 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS) -> dict:
-    """A model from labelled documents outside the held-out fold: the `most` ones that come first by a hash of the id.
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS, most_passages: int = SAMPLE_PASSAGES) -> dict:
+    """A model from labelled documents outside the held-out fold, taken whole in the order of a hash of their ids.
 
-    Labels that are null are left out; of several labels of one document the largest counts. Documents longer than
-    SAMPLE_CHARS aren't learned from. Texts stay on the executors; the driver gets the sample's passages as features.
+    The sample is the first `most` of them, or as many as have most_passages passages together, one at least. Labels of null ids
+    and null labels are left out; of several labels of one document the largest counts; rows with one id and text are one
+    document. Texts stay on the executors; the driver gets the sample's passages as features.
     """
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    short = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS)
-    there = short.select(F.col(id_col).cast("long").alias("_there"))
-    marks = marks.join(there, F.col(id_col).cast("long") == F.col("_there"), "left_semi")  # labels may be of a larger corpus
-    pick = F.broadcast(marks.orderBy(F.xxhash64(F.lit(11), F.col(id_col)), id_col).limit(2 * most))
-    rows = short.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(pick.select(F.col(id_col).cast("long").alias("id"), "y"), "id")
+    spark = docs.sparkSession
+    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    place = F.xxhash64(F.lit(11), F.col("id"))
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE))
+    # labels may be of a larger corpus: only such of documents that are there take places
+    first = rows.select("id", "h", size.alias("size")).join(marks, "id").distinct().orderBy(place, "id", "h").limit(most).collect()
+    until = np.cumsum([r["size"] for r in first])
+    pick = spark.createDataFrame([(r["id"], r["h"], r["y"]) for r, n in zip(first, until) if n <= max(most_passages, until[0])], "id long, h long, y int")
+    rows = rows.join(F.broadcast(pick), ["id", "h"]).dropDuplicates(["id", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, raw, off in slices(b, "text"):
                 x, first = passages(raw, off)
                 x = x.astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("h"), pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["id", "y", "h", "x"])
 
-    found = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(run, "id long, y int, x binary").orderBy(F.xxhash64(F.lit(11), F.col("id")), "id").limit(most).collect())
+    order = {(r["id"], r["h"]): i for i, r in enumerate(first)}
+    found = sorted((order[r["id"], r["h"]], r["y"], bytes(r["x"])) for r in rows.mapInArrow(tidied(run), "id long, y int, h long, x binary").collect())
     return train([np.frombuffer(x, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, _, x in found], np.array([y for _, y, _ in found], np.float32))
 
 
@@ -149,12 +165,14 @@ def add_score(docs: DataFrame, model: dict, text_col: str = "text", column: str
             for part, raw, off in slices(b, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(shared.value, raw, off))], names=[*part.schema.names, column])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return bounded(docs).mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted. Equal texts have equal scores; with no labels every score is 0.5."""
+    """One row per row of docs: id, held_out, score, predicted.
+
+    Equal texts have equal scores (to the last digits); with no labels every score is 0.5. Null and empty texts are scored as one
+    empty passage. Null ids stay null, are not held out and take no labels. An empty table gives an empty result.
+    """
     scored = add_score(docs.select(F.col(id_col), F.col(text_col)), learn(docs, labels, label_col, id_col, text_col), text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
