@@ -1,24 +1,33 @@
 """Main text of web pages by block rules in two passes.
 
-First pass: every block is judged alone by stop-word density, length and link density. Second pass: blocks too short or too
-unclear to judge take the label of the nearest decided blocks around them. Markup that names its part (nav, footer, an advert's
-class) decides at once; an article's blocks look for neighbours inside the article only.
+What the markup itself names as menu, header, footer, sidebar, notice, advert, form or reader comments is left out; that is all it
+decides. First pass: every other block is judged alone by link density, stop-word density and length: as text, as no text, or as
+ambiguous, which most short ones are. Second pass: ambiguous blocks take the labels of the nearest decided blocks around them, by
+rules for their length and stop words; blocks of an article element look for neighbours inside it.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, bounded
 
+#: Characters from which a block can be judged by its words, and from which stop words make it text by themselves.
 LENGTH_LOW, LENGTH_HIGH = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+#: Characters below which unmarked words at the ends of a page, with no mark at their end, are taken for a menu's.
+LENGTH_BARE = 25
+#: Shares of stop words: from the first on a long block is text, from the second on one with text on either side is; one under the
+#: third is text only with text on all sides.
+STOP_HIGH, STOP_LOW, STOP_NONE = 0.32, 0.20, 0.01
+#: Share of a block's characters that may be in links.
 LINKS_HIGH = 0.2
 
 #: Frequent function words of the four languages.
@@ -30,137 +39,188 @@ STOP_WORDS = frozenset(
 )
 
 #: Elements whose text is never shown, that start a new block, and that hold no article text.
-_RAW = "script style noscript template textarea select svg iframe object canvas math title button option head"
+_RAW = frozenset("script style noscript template textarea select svg iframe object canvas math title button option head".split())
 _BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre section article main header footer nav aside form fieldset figure figcaption address hr body html details summary center legend menu dialog".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BAD = frozenset("nav footer aside form menu dialog".split())
-_VOID = frozenset("hr br img input meta link source wbr area base col embed param track".split())
-_BAD_NAME = re.compile(
-    r"(?:ads?|adverts?|advertis\w+|adsense|banner|sponsor\w*|promo\w*|sidebar|menus?|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|popup|modal|overlay|share|sharing|social|related|recommend\w*|comments?|disqus|footer|masthead|toolbar|widgets?|login|search|pagination|pager)"
+#: Elements that may hold a part of a page, so that their names say what the part is, and those that are no part by themselves.
+_PARTS = frozenset("div section ul ol dl table header fieldset details figure center".split())
+_LOOSE = frozenset("p li td th tr dt dd".split())
+_BAD_NAME = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promotion banner sidebar menu menus nav navbar navigation
+    breadcrumb breadcrumbs cookie cookies consent gdpr notice notices newsletter popup modal overlay comment comments disqus header footer masthead""".split()
 )
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|>(?!.*?-->))|<(?P<raw>{_RAW.replace(" ", "|")})(?=[\s/>])[^>]*+>.*?</(?P=raw)[^>]*+>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attr>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-z][^>]*+(?:>|$)""",
-    re.I | re.S,
-)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_OPEN = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+_STOP = re.compile(r"""[>"']""")
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _names_bad(attrs: str) -> bool:
+    """Whether class, id or role names a part that holds no article."""
     for name, *values in _ATTR.findall(attrs):
-        for x in "".join(values).lower().split():
-            if name.lower() == "role":
-                if x in _BAD_ROLE:
-                    return True
-            elif any(_BAD_NAME.fullmatch(y) for y in re.split(r"[-_]+", x)):
-                return True
+        name, words = name.lower(), "".join(values).lower().split()
+        if name == "role" and any(x in _BAD_ROLE for x in words):
+            return True
+        if name in ("class", "id") and any(y in _BAD_NAME for x in words for y in re.split(r"[-_]+", x)):
+            return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters inside links, inside a part that holds no article, number of the article around it or 0)."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool]] = []
+class _Finder:
+    """Finds in page from ever later places; what isn't there is looked for once, so that all searches together read the page a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.found = page, {}
+
+    def __call__(self, what: str, start: int) -> int:
+        at = self.found.get(what, 0)
+        if 0 <= at < start or what not in self.found:
+            if what[:2] == "</":
+                m = re.compile(what, re.I).search(self.page, start)
+                at = m.start() if m else -1
+            else:
+                at = self.page.find(what, start)
+            self.found[what] = at
+        return at
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends, attributes) of every piece of markup. Comments and elements never shown are one piece each, the latter with name " "."""
+    find, at, size = _Finder(page), 0, len(page)
+    while (start := page.find("<", at)) >= 0:
+        m = _OPEN.match(page, start)
+        if m is None:
+            at = start + 1
+            if page[at : at + 1] in ("!", "/", "?"):  # a comment goes on to its end, other declarations, or one without an end, to the next >
+                end = find("-->", start + 4) + 3 if page.startswith("!--", at) else 0
+                if end < 4:
+                    end = find(">", at) + 1
+                at = end if end > 0 else size
+                yield start, at, "", False, ""
+            continue
+        name, to = m[2].lower(), m.end()
+        while (stop := _STOP.search(page, to)) and stop[0] != ">":
+            close = find(stop[0], stop.end())
+            to = close + 1 if close >= 0 else stop.end()  # a quote that never ends is a character like others
+        at = stop.end() if stop else size
+        if name in _RAW and not m[1]:
+            end = find("</" + name, at)
+            if end >= 0:
+                end = find(">", end) + 1
+                at = end if end > 0 else size
+                yield start, at, " ", False, ""
+                continue
+        yield start, at, name, bool(m[1]), page[m.end() : at - 1]
+
+
+def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
+    """(text, characters inside links, whether inside a part left out, whether a heading, number of the article around it or 0) of every block that has text."""
+    out: list[tuple[str, int, bool, bool, int]] = []
+    stack: list[tuple[str, int]] = []
     text: list[str] = []
-    links, article, articles, at, link, bad = 0, 0, 0, 0, 0, 0
+    open_now: Counter[str] = Counter()
+    # parts left open before an article end where it begins: they count in an era of their own
+    links, at, link, bad, era, head, article = 0, 0, False, 0, 1, False, 0
 
     def close() -> None:
         nonlocal links
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((joined, links, bad > 0, article))
+                out.append((joined, links, bad > 0, head, article))
             text.clear()
         links = 0
 
-    for m in [*_TOKEN.finditer(page), None]:
-        piece = page[at : m.start() if m else len(page)]
-        if piece:
+    for start, end, tag, ends, attrs in itertools.chain(_tags(page), [(len(page), len(page), "", False, "")]):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if link and not piece.isspace():
                 links += len(" ".join(html.unescape(piece).split()))
-        if m is None:
-            break
-        at = m.end()
-        if m["raw"] or m["tag"] is None:
-            if m["raw"]:
-                text.append(" ")
-            continue
-        tag, ends = m["tag"].lower(), bool(m["end"])
+        at = end
         if tag == "a":
-            link = 0 if ends else 1
-        elif tag == "br":
+            link = not ends
+        elif tag in ("br", " "):
             text.append(" ")
-        if tag in _BLOCK:
-            close()
-            link = 0
-        if tag in _VOID or tag not in _BLOCK and tag != "span":
+        if tag not in _BLOCK:
+            continue
+        close()
+        link, head = False, tag in _HEADINGS and not ends
+        if tag == "hr" or tag in _LOOSE:
             continue
         if not ends:
             if tag in ("article", "main") and not article:
-                stack, bad = [x for x in stack if not x[1]], 0  # parts left open before it end here
-                articles += 1
-                article = articles
-            if tag not in ("p", "li", "td", "th", "tr", "dt", "dd"):
-                is_bad = tag in _BAD or tag == "header" and not article or tag not in ("body", "html", "article", "main") and _names_bad(m["attr"])
-                if tag == "span":
-                    is_bad = False
-                stack.append((tag, is_bad))
-                bad += is_bad
-        elif any(x[0] == tag for x in stack):
-            while stack:
+                era, bad = era + 1, 0
+                article = era - 1
+            is_bad = tag in _BAD or tag == "header" and not article or tag in _PARTS and _names_bad(attrs)
+            stack.append((tag, era if is_bad else 0))
+            open_now[tag] += 1
+            bad += is_bad
+        elif open_now[tag]:
+            while True:
                 name, was_bad = stack.pop()
-                bad -= was_bad
+                open_now[name] -= 1
+                bad -= was_bad == era
                 if name == tag:
                     break
-            if tag in ("article", "main") and not any(x[0] in ("article", "main") for x in stack):
+            if not open_now["article"] + open_now["main"]:
                 article = 0
     close()
     return out
 
 
-def classify(found: list[tuple[str, int, bool, int]]) -> list[bool]:
+def classify(found: list[tuple[str, int, bool, bool, int]]) -> list[bool]:
+    """Whether each block is main text. Blocks left out by their markup are no text, and no neighbours either."""
+    left = [i for i, b in enumerate(found) if not b[2]]
+    marked = any(found[i][4] for i in left)
     labels: list[bool | None] = []
-    for text, links, bad, article in found:
+    density = []
+    for i in left:
+        text, links = found[i][:2]
         words = _WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if bad or links > LINKS_HIGH * len(text):
+        density.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
+        if links > LINKS_HIGH * len(text):
             labels.append(False)
-        elif len(text) < LENGTH_LOW:
-            labels.append(None)
-        elif density >= STOP_HIGH and len(text) > LENGTH_HIGH:
+        elif len(text) > LENGTH_HIGH and density[-1] >= STOP_HIGH:
             labels.append(True)
-        elif density >= STOP_LOW:
-            labels.append(True if article else None)
         else:
-            labels.append(None if article else False)
-    # one sweep from each end finds the nearest decided block on that side; outside articles the page's ends count as no text
-    near: list[list[tuple[int, bool]]] = [[] for _ in found]
+            labels.append(None)
+    if not marked:  # bare words before the first decided block and after the last one
+        for order in (range(len(left)), range(len(left) - 1, -1, -1)):
+            for k in itertools.takewhile(lambda k: labels[k] is None, order):
+                text, heading = found[left[k]][0], found[left[k]][3]
+                if True in labels and len(text) < LENGTH_BARE and not heading and text[-1].isalnum():
+                    labels[k] = False
+    # one sweep from each end finds the nearest decided block of the same region on that side
+    near: list[list[tuple[int, bool]]] = [[] for _ in left]
     for step in (1, -1):
-        order, last = range(len(found))[::step], None
-        for n, i in enumerate(order):
-            here = found[i][3]
-            if n and found[order[n - 1]][3] != here:
-                last = None
-            elif n == 0 and not here:
-                last = (i - step, False)
-            if labels[i] is None:
-                if last is not None:
-                    near[i].append((abs(i - last[0]), last[1]))
-            elif not (here and found[i][2]):
-                last = (i, bool(labels[i]))
-    out = []
-    for (_, _, _, here), label, close in zip(found, labels, near):
-        if label is not None:
-            out.append(label)
-        elif not close:
-            out.append(bool(here))
-        elif here:
-            out.append(any(good for _, good in close))
-        else:
-            least = min(d for d, _ in close)
-            out.append(all(good for d, good in close if d == least))
+        last, region = None, None
+        for k in range(len(left))[::step]:
+            if found[left[k]][4] != region:
+                region = found[left[k]][4]
+                last = (k - step, False) if marked and not region else None  # beside an article, a region's ends are no text
+            if labels[k] is not None:
+                last = (k, labels[k])
+            elif last is not None:
+                near[k].append((abs(k - last[0]), last[1]))
+    out = [False] * len(found)
+    for k, i in enumerate(left):
+        label, sides, text = labels[k], near[k], found[i][0]
+        if label is None and not sides:
+            label = True  # nothing decided in an article, or on a page without one
+        elif label is None:
+            least = min(d for d, _ in sides)
+            close = [good for d, good in sides if d == least]
+            if found[i][3]:
+                label = sides[-1][1]  # a heading belongs to what follows it
+            elif len(text) < LENGTH_LOW or STOP_NONE <= density[k] < STOP_LOW:
+                label = any(close) if found[i][4] or not marked else all(close)
+            else:  # enough words to go by
+                label = any(good for _, good in sides) if density[k] >= STOP_LOW else all(good for _, good in sides)
+        out[i] = label
     return out
 
 
@@ -188,4 +248,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             if out:
                 yield batch(out, _OUT)
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, _OUT)
+    return bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, _OUT)
