@@ -2,7 +2,8 @@
 
 The reader checks every member and record: the gzip checksum, the version line, the content length, the block digest. Where a
 check fails it looks for the next gzip member (or, in plain files, the next version line) that passes, goes on from there, and
-reports the bytes between as a quarantined gap with the reason.
+reports the bytes between as a quarantined gap with the reason. A gzip member may hold several records: they are read like those
+of a plain file.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shards
-from .common import batch, cut
+from .common import batch, bounded, cut, tidied
 
 #: Payloads shorter than this are never revisits.
 LEAST_SHARED = 1000
 #: A file is closed once it has this many bytes.
 FILE_BYTES = 16 << 20
+#: Bytes in which a record's headers must end.
+HEADER_BYTES = 1 << 20
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"
@@ -52,11 +55,11 @@ class Bad(ValueError):
     """A failed check."""
 
 
-def _parse(data: bytes, at: int, exact: bool) -> tuple[dict, bytes, int]:
-    """The record at `at`: headers (lower case), block, end. exact: data ends with the record."""
+def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
+    """The record at `at`: headers (lower case), block, end."""
     if not re.compile(rb"WARC/1\.\d\r\n").match(data, at):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", at)
+    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if end < 0:
         raise Bad("headers don't end")
     head = {}
@@ -68,7 +71,7 @@ def _parse(data: bytes, at: int, exact: bool) -> tuple[dict, bytes, int]:
     if not head.get("content-length", "").isdigit():
         raise Bad("no content length")
     start, stop = end + 4, end + 4 + int(head["content-length"])
-    if data[stop : stop + 4] != b"\r\n\r\n" or exact and stop + 4 != len(data):
+    if data[stop : stop + 4] != b"\r\n\r\n":
         raise Bad("content length doesn't fit")
     block = data[start:stop]
     digest = head.get("warc-block-digest", "")
@@ -91,21 +94,12 @@ def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
     return b"".join(out), min(pos, len(data)) - len(d.unused_data)
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
-    """("record", offset, length, headers, block) of every sound record and ("gap", offset, length, reason, None) of what lies between.
-
-    No bytes, no rows. Gzip files hold one record a member; plain files hold records one after another.
-    """
-    gz = data[:2] == b"\x1f\x8b" or (data.find(b"\x1f\x8b\x08") >= 0 and data.find(b"WARC/1.") < 0)
-    mark = b"\x1f\x8b\x08" if gz else b"WARC/1."
+def _walk(data: bytes, mark: bytes, read) -> Iterator[tuple]:
+    """(start, end, what read gives) of every unit that read passes, and (start, end, reason) of what lies between: after a failed check the next mark is tried."""
     at, bad_at, why = 0, -1, ""
     while at < len(data):
         try:
-            if gz:
-                member, end = _inflate(data, at)
-                head, block, _ = _parse(member, 0, True)
-            else:
-                head, block, end = _parse(data, at, False)
+            got, end = read(data, at)
         except Bad as e:
             if bad_at < 0:
                 bad_at, why = at, str(e)
@@ -113,12 +107,38 @@ def salvage(data: bytes) -> Iterator[tuple]:
             at = len(data) if nxt < 0 else nxt
             continue
         if bad_at >= 0:
-            yield "gap", bad_at, at - bad_at, why, None
+            yield bad_at, at, why
             bad_at = -1
-        yield "record", at, end - at, head, block
+        yield at, end, got
         at = end
     if bad_at >= 0:
-        yield "gap", bad_at, len(data) - bad_at, why, None
+        yield bad_at, len(data), why
+
+
+def _read_record(data: bytes, at: int) -> tuple[tuple[dict, bytes], int]:
+    head, block, end = _parse(data, at)
+    return (head, block), end
+
+
+def salvage(data: bytes) -> Iterator[tuple]:
+    """("record", offset, length, headers, block) of every sound record and ("gap", offset, length, reason, None) of what lies between.
+
+    No bytes, no rows. Offsets and lengths are those of the file: in gzip files, of the member that a record or gap is in; a gap
+    within a member says where in the reason.
+    """
+    if not (data[:2] == b"\x1f\x8b" or (data.find(b"\x1f\x8b\x08") >= 0 and data.find(b"WARC/1.") < 0)):
+        for a, b, got in _walk(data, b"WARC/1.", _read_record):
+            yield ("gap", a, b - a, got, None) if isinstance(got, str) else ("record", a, b - a, *got)
+        return
+    for a, b, member in _walk(data, b"\x1f\x8b\x08", _inflate):
+        if isinstance(member, str):
+            yield "gap", a, b - a, member, None
+            continue
+        for i, j, got in _walk(member, b"WARC/1.", _read_record):
+            if isinstance(got, str):
+                yield "gap", a, b - a, f"{got} (bytes {i} to {j} of the member's {len(member)})", None
+            else:
+                yield "record", a, b - a, *got
 
 
 def split_http(block: bytes) -> tuple[dict, bytes]:
@@ -139,18 +159,20 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_SHARED, id_col:
     id are responses (of repeated rows all), the others revisit that id; rows without id can only revisit.
     """
     body = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.encode(body, "utf-8").alias("payload"))
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.encode(body, "utf-8").alias("payload"))
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
-    groups = rows.filter("key is not null").groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    # the groups' files' size tells Spark whether to broadcast them; else hot payloads are split as the plan runs
-    rows = rows.join(cut(groups, "payloads"), "key", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    shared = rows.filter("key is not null").groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # small payloads go round the join. The groups' files' size tells Spark whether to broadcast them; else hot payloads are split as the plan runs
+    found = rows.filter("key is not null").join(cut(shared.select("key", "first"), "payloads"), "key", "left")
+    found = found.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    rows = found.unionByName(rows.filter("key is null").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, size, n = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush():
             nonlocal count, held, size, n
-            done = batch([(shards.put(folder, f"pages-{part:06d}-{count:05d}.warc.gz", b"".join(held)), n, size)], _FILES)
+            done = batch([(shards.put(folder, f"pages-{part:06d}-{count:05d}-{{}}.warc.gz", b"".join(held)), n, size)], _FILES)
             count, held, size, n = count + 1, [], 0, 0
             return done
 
@@ -166,7 +188,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_SHARED, id_col:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, _FILES)
+    return rows.mapInArrow(tidied(run), _FILES)
 
 
 _RECORDS = "path string, offset long, length long, gap string, record_type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
@@ -200,13 +222,19 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if out:
                     yield batch(out, _RECORDS)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path).select("path", "content").mapInArrow(run, _RECORDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path).select("path", "content").mapInArrow(tidied(run), _RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_SHARED, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes pages as WARC files in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes pages as WARC files in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Files that other attempts of a task left behind don't count. A gap in the files raises. For nulls see write_warc.
+    """
     spark = pages.sparkSession
     folder = shards.new_folder(spark, "warc")
-    cut(write_warc(pages, folder, least, id_col, url_col, html_col), "warcs")
-    found = read_warc(spark, folder, payloads=False).filter("gap is null")
-    return found.select(F.expr("nullif(regexp_extract(record_id, '^urn:x-page:(-?[0-9]+)$', 1), '')").cast("long").alias(id_col), "payload_bytes", "payload_digest", "record_type", F.expr("nullif(regexp_extract(refers_to, '^urn:x-page:(-?[0-9]+)$', 1), '')").cast("long").alias("refers_to"))
+    files = cut(write_warc(pages, folder, least, id_col, url_col, html_col), "warcs")
+    name = F.element_at(F.split("path", "/"), -1)
+    found = read_warc(spark, folder, payloads=False).withColumn("file", name).join(files.select(name.alias("file")), "file", "left_semi")
+    number = lambda c: F.expr(f"nullif(regexp_extract({c}, '^urn:x-page:(-?[0-9]+)$', 1), '')").cast("long")
+    gap = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "gap")).cast("long")
+    return found.select(F.when(F.col("gap").isNotNull(), gap).otherwise(number("record_id")).alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
