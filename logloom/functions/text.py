@@ -13,7 +13,7 @@ BLOCK_ID = r"(?U)\bblk_-?\d+\b"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 ENDPOINT = rf"(?U)(\b(?:src|dest):[ \t]*/)({_IPV4})(:[0-9]+)(?![\w.:])"
-IPV4_PORT = rf"(?U)(?<![\w.])(/?)({_IPV4})(:[0-9]+)(?![\w.:])"
+IPV4_PORT = rf"(?U)(?<![\w.])(/?)({_IPV4})(:[0-9]+)(?![\w.])"
 IPV4_BARE = rf"(?U)(?<![\w.:])(/?)({_IPV4})(?![\w.:])"
 JOB_ID = r"(?<![A-Za-z0-9_.-])job_[0-9]{12}_[0-9]{4}(?![A-Za-z0-9_.-])"
 PATH = r"(?U)(?<!\S)/(?:[A-Za-z0-9._<>-]+/)+[A-Za-z0-9._<>-]+(?!\S)"

@@ -169,11 +169,33 @@ def fn3(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(fx.block_ids(c), "|").alias("ids"), F.size(fx.block_mentions(c)).alias("n"))
 
 
-@query("fn5_masks", r"""
-SELECT event_id, concat('Received <BLOCK_ID> src: /<IP>:', 1000 + user_id, ' dest: /<IP>:50010') AS masked_a, concat('Received <BLOCK_ID> src: /<IP>:', 1000 + user_id, ' dest: /<IP>:50010') AS masked_b FROM events""")
+#: Messages of eight shapes, as both dialects spell them: octets past 255, words around ids, ports followed by a colon, a dot, a letter.
+_MASKED = """concat(CASE event_id % 8 WHEN 0 THEN 'Received blk_' || event_id WHEN 1 THEN 'xblk_' || event_id WHEN 2 THEN 'blk_-' || event_id || '_x' WHEN 3 THEN '10.0.' || (event_id % 300) || '.1:50010:Transmitted blk_' || event_id
+  WHEN 4 THEN 'job_200811092030_' || lpad(CAST(event_id % 10000 AS VARCHAR(9)), 4, '0') WHEN 5 THEN '/sys/job_200811092030_' || lpad(CAST(event_id % 10000 AS VARCHAR(9)), 4, '0') || '/job.jar' WHEN 6 THEN '/10.1.' || (event_id % 300) || '.7' ELSE 'v1.2.3.4' END,
+  CASE user_id % 4 WHEN 0 THEN ' src: /10.' || (user_id % 300) || '.0.1:' || user_id || ' dest: /10.0.0.1:50010' WHEN 1 THEN ' to 10.1.2.' || (user_id % 300) || ':80.5' WHEN 2 THEN ' at 10.1.2.' || (user_id % 300) || ':80' ELSE ' wrote /data/u' || user_id || '/part' END)"""
+_JOB = "'job_200811092030_' || lpad(CAST(event_id % 10000 AS VARCHAR(9)), 4, '0')"
+
+
+def _masked(mask: str) -> str:
+    """What the masks make of these messages, shape by shape."""
+    ip = lambda cond, yes, no: f"CASE WHEN {cond} THEN {yes} ELSE {no} END"
+    ports, jobs, paths = mask != "a", mask in "cd", mask == "d"
+    first = {0: "'Received <BLOCK_ID>'", 1: "'xblk_' || event_id", 2: "'blk_-' || event_id || '_x'", 7: "'v1.2.3.4'"}
+    first[3] = ip("event_id % 300 < 256", "'<IP>:50010:Transmitted <BLOCK_ID>'", "'10.0.' || (event_id % 300) || '.1:50010:Transmitted <BLOCK_ID>'") if ports else "'10.0.' || (event_id % 300) || '.1:50010:Transmitted <BLOCK_ID>'"
+    first[4] = "'<JOB_ID>'" if jobs else _JOB
+    first[5] = "'<PATH>'" if paths else "'/sys/<JOB_ID>/job.jar'" if jobs else f"'/sys/' || {_JOB} || '/job.jar'"
+    first[6] = ip("event_id % 300 < 256", "'/<IP>'", "'/10.1.' || (event_id % 300) || '.7'") if paths else "'/10.1.' || (event_id % 300) || '.7'"
+    last = {0: ip("user_id % 300 < 256", "' src: /<IP>:' || user_id || ' dest: /<IP>:50010'", "' src: /10.' || (user_id % 300) || '.0.1:' || user_id || ' dest: /<IP>:50010'"), 1: "' to 10.1.2.' || (user_id % 300) || ':80.5'"}
+    last[2] = ip("user_id % 300 < 256", "' at <IP>:80'", "' at 10.1.2.' || (user_id % 300) || ':80'") if ports else "' at 10.1.2.' || (user_id % 300) || ':80'"
+    last[3] = "' wrote <PATH>'" if paths else "' wrote /data/u' || user_id || '/part'"
+    case = lambda x, shapes: f"CASE {x} " + " ".join(f"WHEN {k} THEN {v}" for k, v in sorted(shapes.items())) + " END"
+    return f"concat({case('event_id % 8', first)}, {case('user_id % 4', last)}) AS masked_{mask}"
+
+
+@query("fn5_masks", f"SELECT event_id, {', '.join(map(_masked, 'abcd'))} FROM events")
 def fn5(spark, sf):
-    m = F.expr("concat('Received blk_', event_id, ' src: /10.', user_id % 256, '.0.', event_id % 256, ':', 1000 + user_id, ' dest: /10.0.0.1:50010')")
-    return table(spark, sf, "events").select("event_id", fx.mask_a(m).alias("masked_a"), fx.mask_b(m).alias("masked_b"))
+    m = F.expr(_MASKED)
+    return table(spark, sf, "events").select("event_id", *[fx.MASKS[k.upper()](m).alias(f"masked_{k}") for k in "abcd"])
 
 
 @query("fn8_mask_paths", "SELECT event_id, concat('job <JOB_ID> at /<IP> wrote <PATH> of ', user_id) AS masked FROM events")
@@ -767,7 +789,7 @@ _INPUTS = ["event_count", "error_count", "warn_count", "service_count", "text_si
 def ml11(spark, sf):
     f = sessions.trace_features(adapted(spark, sf))
     s = features.scaler_apply(f, _INPUTS, features.scaler_fit(f, _INPUTS))
-    model = detect.IsolationForest(trees=100).fit(detect.first_rows(s, "tc_trace_id", _INPUTS))
+    model = detect.IsolationForest().fit(detect.first_rows(s, "tc_trace_id", _INPUTS))
     return detect.score_rows(s, _INPUTS, model, "isolation_forest_score").select("tc_trace_id", "isolation_forest_score")
 
 

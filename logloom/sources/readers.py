@@ -18,39 +18,61 @@ from logloom.functions import text as fx
 EVENT_COLUMNS = "@timestamp @version level level_value logger_name message stack_trace tc_app_name tc_domain tc_empresa tc_instance tc_primitive tc_profiles tc_service tc_service_canary tc_tenant tc_tenant_canary tc_terminal_id tc_trace_call_stack tc_trace_id tc_uri_host tc_uri_method tc_uri_path tc_uri_url tc_user tc_version thread_name traceId".split()
 
 
-def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """df with dense numbers from 1 in its own order. One count per partition is shuffled, no row is."""
-    marked = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    counts = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+def with_ordinal(df: DataFrame, name: str = "ordinal", places: tuple[str, ...] = ()) -> DataFrame:
+    """df with dense numbers from 1. One count per partition is shuffled, no row is.
+
+    places: columns that say where a row's file and part of a file are (they go); rows are then numbered in their order, however
+    Spark packs files into partitions. Without them the order is df's own.
+    """
+    marked = df.withColumn("_m", F.monotonically_increasing_id())
+    if not places:
+        marked, places = marked.withColumn("_p", F.spark_partition_id()), ("_p",)
+    counts = marked.groupBy(*places).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = Window.orderBy(*places).rowsBetween(Window.unboundedPreceding, -1)  # one row a part of a file
     bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = marked.join(F.broadcast(bases.select("_p", "_first", "_base")), "_p")
-    return out.withColumn(name, F.col("_base") + F.col("_m") - F.col("_first") + 1).drop("_p", "_m", "_first", "_base")
+    out = marked.join(bases.select(*places, "_first", "_base"), list(places))
+    return out.withColumn(name, F.col("_base") + F.col("_m") - F.col("_first") + 1).drop(*places, "_m", "_first", "_base")
+
+
+def _places() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_id (from 1), line, and decodes: whether the bytes were strict UTF-8. A lone carriage return ends no line."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.is_valid_utf8("value").alias("decodes"), F.regexp_replace("value", "\r$", "").alias("line"))
-    return with_ordinal(raw, "line_id").select("line_id", "line", "decodes")
+    """line_id (from 1, files in the order of their paths), line, and decodes: whether the bytes were strict UTF-8. A lone carriage return ends no line."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.is_valid_utf8("value").alias("decodes"), F.regexp_replace("value", "\r$", "").alias("line"), *_places())
+    return with_ordinal(raw, "line_id", ("_file", "_start")).select("line_id", "line", "decodes")
 
 
 def first_lines(lines: DataFrame, n: int) -> DataFrame:
     return lines.filter(F.col("line_id") <= n)
 
 
-def read_csv_tree(spark: SparkSession, path: str, columns: list[str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+def read_csv_tree(spark: SparkSession, path: str, columns: list[str] | None = None, required: tuple[str, ...] = (), ordinal: str | None = None, source: str | None = None) -> DataFrame:
     """All CSV files under path, as text; a missing value is an empty string. Every header must equal the first (or `columns`).
 
-    Quoted fields may hold newlines and doubled quotes; byte order marks and gzip are understood.
+    Quoted fields may hold newlines and doubled quotes; byte order marks and gzip are understood. ordinal, source: columns for the
+    row's number (from 1, files in the order of their paths) and its file's name.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").option("maxCharsPerColumn", -1).option("enforceSchema", False)
     df = reader.csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    if columns is not None and df.columns != columns:
-        raise ValueError(f"columns differ: {df.columns}")
-    if missing := set(required) - set(df.columns):
+    names = [c.lstrip("\ufeff") for c in df.columns]
+    if columns is not None and names != columns:
+        raise ValueError(f"columns differ: {names}")
+    if missing := set(required) - set(names):
         raise ValueError(f"columns are missing: {sorted(missing)}")
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    named = [F.element_at(F.split("_metadata.file_path", "/"), -1).alias(source)] if source else []
+    out = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in zip(df.columns, names)], *named, *(_places() if ordinal else []))
+    return with_ordinal(out, ordinal, ("_file", "_start")) if ordinal else out
+
+
+def read_split(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train", "validation", "test"), labels: tuple[str, ...] = ("Normal", "Anomaly")) -> DataFrame:
+    """A master split (BlockId, Label, Split) from CSV with exactly these columns. A row with a blank or repeated id, or another label or split, raises when it is met."""
+    df = read_csv_tree(spark, path, columns=["BlockId", "Label", "Split"])
+    same = Window.partitionBy("BlockId")
+    wrong = F.when(fx.blank(F.col("BlockId")), "blank id").when(~F.col("Label").isin(*labels), "unknown label").when(~F.col("Split").isin(*splits), "unknown split").when(F.count(F.lit(1)).over(same) > 1, "repeated id")
+    checked = df.withColumn("_wrong", wrong)
+    return checked.select(F.when(F.col("_wrong").isNull(), F.col("BlockId")).otherwise(F.raise_error(F.concat("_wrong", F.lit(": "), "BlockId"))).alias("BlockId"), "Label", "Split")
 
 
 def read_zip_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -100,9 +122,19 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def strictly_increasing(df: DataFrame, key: str, order: str | None = None, partition: Column | None = None) -> DataFrame:
-    """Rows whose key isn't above the one before it: none for a well-ordered table."""
-    w = Window.partitionBy(partition if partition is not None else F.lit(0)).orderBy(order or key)
-    return df.withColumn("_before", F.lag(key).over(w)).filter(F.col(key) <= F.col("_before")).drop("_before")
+    """Rows whose key isn't above the one before it: none for a well-ordered table.
+
+    partition: the groups that are ordered by themselves. Without it, rows are dealt out by ranges of the order; each range is
+    checked by itself, and its first row against the last key of the ranges before it.
+    """
+    order = order or key
+    if partition is not None:
+        return df.withColumn("_before", F.lag(key).over(Window.partitionBy(partition).orderBy(order))).filter(F.col(key) <= F.col("_before")).drop("_before")
+    dealt = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    ends = dealt.groupBy("_p").agg(F.max_by(key, order).alias("_last"))
+    last = ends.select("_p", F.last("_last", True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_last"))  # one row a partition
+    within = dealt.withColumn("_before", F.lag(key).over(Window.partitionBy("_p").orderBy(order)))
+    return within.join(last, "_p").filter(F.col(key) <= F.coalesce("_before", "_last")).drop("_p", "_before", "_last")
 
 
 def require_accepted(manifest: dict | str) -> dict:

@@ -5,12 +5,25 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); in a temporary one where that is unset on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="logloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def content_hash(df: DataFrame) -> str:
     """A hash of df's rows that doesn't depend on their order or on files."""
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(df.columns)]
@@ -57,6 +70,29 @@ def write_json(data: dict, path: str | Path, overwrite: bool = False) -> None:
     os.replace(part, path)
 
 
+def store_json(spark: SparkSession, data: dict, path: str, overwrite: bool = False) -> None:
+    """write_json for any store that Spark reaches."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, part = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.tmp"))
+    store = target.getFileSystem(conf)
+    if store.exists(target):
+        if not overwrite:
+            raise FileExistsError(path)
+        store.delete(target, False)
+    out = store.create(part, True)
+    out.write(bytearray((json.dumps(data, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode()))
+    out.close()
+    store.rename(part, target)
+
+
+def load_published(spark: SparkSession, path: str, digest: str) -> DataFrame:
+    """What publish() wrote, if its content hash is still this one; else ValueError."""
+    df = spark.read.parquet(path)
+    if (found := content_hash(df)) != digest:
+        raise ValueError(f"{path} holds other rows: {found}")
+    return df
+
+
 def markdown_report(title: str, sections: dict[str, dict[str, object]]) -> str:
     lines = [f"# {title}", ""]
     for name, values in sections.items():
