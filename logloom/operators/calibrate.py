@@ -29,13 +29,31 @@ def confusion(rows: DataFrame, truth: Column, predicted: Column, group: list[str
     return out.select(*(group or []), "n", *_metrics(*[F.col(x) for x in ("tp", "tn", "fp", "fn")]), fx.ratio(F.col("tp") + F.col("fp"), F.col("n")).alias("coverage"))
 
 
+#: Ranges of a score that cumulative sums are taken over.
+RANGES = 4096
+
+
+def _cumulated(per: DataFrame, key: str, sums: dict[str, str], totals: dict[str, str]) -> DataFrame:
+    """per (one row a key) with `sums`, name to column: the sum of the column over this and all higher keys, and `totals`: over all keys.
+
+    Keys lie in ranges of equal width; sums of ranges say what lies above each, and every range is ordered by itself.
+    """
+    lo, hi = per.agg(F.min(key), F.max(key)).first()
+    width = (hi - lo) / RANGES if lo is not None and hi > lo else 1.0
+    ranged = per.withColumn("_b", F.least(F.floor((F.col(key) - F.lit(lo or 0.0)) / F.lit(width)), F.lit(RANGES - 1)).cast("int"))
+    blocks = ranged.groupBy("_b").agg(*[F.sum(c).alias(f"_{n}") for n, c in (sums | totals).items()])
+    above, whole = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # RANGES rows at most
+    blocks = blocks.select("_b", *[F.coalesce(F.sum(f"_{n}").over(above), F.lit(0)).alias(f"_{n}") for n in sums], *[F.sum(f"_{n}").over(whole).alias(n) for n in totals])
+    down = Window.partitionBy("_b").orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(F.broadcast(blocks), "_b").withColumns({n: F.col(f"_{n}") + F.sum(c).over(down) for n, c in sums.items()})
+    return out.drop("_b", *[f"_{n}" for n in sums])
+
+
 def threshold_table(rows: DataFrame, score: str, truth: Column) -> DataFrame:
     """For every distinct score taken as a threshold (at or above is positive): counts and metrics. One row a score is ordered, not the rows."""
     per = rows.select(F.col(score).cast("double").alias("threshold"), truth.alias("t")).groupBy("threshold").agg(F.count_if("t").alias("p"), F.count_if(~F.col("t")).alias("q"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    cum = per.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("P"), F.sum("q").over(whole).alias("N"))
-    return cum.select("threshold", *_metrics(F.col("tp"), F.col("N") - F.col("fp"), F.col("fp"), F.col("P") - F.col("tp")))
+    cum = _cumulated(per, "threshold", {"tp": "p", "fp": "q"}, {"_P": "p", "_N": "q"})
+    return cum.select("threshold", *_metrics(F.col("tp"), F.col("_N") - F.col("fp"), F.col("fp"), F.col("_P") - F.col("tp")))
 
 
 def best_threshold(rows: DataFrame, score: str, truth: Column) -> DataFrame:
@@ -69,9 +87,10 @@ def min_recall_threshold(rows: DataFrame, score: str, truth: Column, least: floa
 
 def average_precision(rows: DataFrame, score: str, truth: Column) -> DataFrame:
     """Area under the precision-recall steps: sum of (recall - recall before) * precision from the highest score down."""
-    t = threshold_table(rows, score, truth)
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return t.withColumn("part", (F.col("recall") - before) * F.col("precision")).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("average_precision"))
+    per = rows.select(F.col(score).cast("double").alias("threshold"), truth.alias("t")).groupBy("threshold").agg(F.count_if("t").alias("p"), F.count_if(~F.col("t")).alias("q"))
+    t = _cumulated(per, "threshold", {"tp": "p", "fp": "q"}, {"_P": "p"})
+    step = fx.ratio(F.col("p"), F.col("_P"))  # what this score's positives add to the recall
+    return t.withColumn("part", step * fx.ratio(F.col("tp"), F.col("tp") + F.col("fp"))).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("average_precision"))
 
 
 def alert_levels(scores: DataFrame, score: str, threshold: float, evidence: Column) -> DataFrame:

@@ -51,11 +51,12 @@ def vector_audit(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(l2(F.col(vector)) - 1) <= 1e-3).alias("unit"), F.count_if(bad).alias("not_finite"))
 
 
-def neighbours(items: DataFrame, key: str, vector: str, k: int = 3, blocks: int = 8) -> DataFrame:
-    """The k nearest others of every item by cosine. Items are dealt into blocks and every pair of blocks meets in one task.
+def neighbours(items: DataFrame, key: str, vector: str, k: int = 3, block: int = 4096) -> DataFrame:
+    """The k nearest others of every item by cosine. Items are dealt into blocks of about `block`, and every pair of blocks meets in one task.
 
-    Meant for catalogues (every item meets every other); a block keeps its k best, so at most blocks * k rows an item follow.
+    Meant for catalogues (every item meets every other); a block keeps its k best, so at most k rows an item follow from each.
     """
+    blocks = max(1, -(-items.count() // block))
     unit = items.select(key, normalized(F.col(vector)).alias("v")).withColumn("b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     left = unit.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
     right = unit.withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))

@@ -22,6 +22,19 @@ def anonymize(events: DataFrame, salt: str, fields: tuple[str, ...]) -> DataFram
     return events.withColumns({c: fx.anonymize_text(F.coalesce(F.col(c), F.lit("")), salt) for c in fields if c in events.columns})
 
 
+def sequential_tokens(rows: DataFrame, column: str, order: str, prefix: str) -> DataFrame:
+    """value and token for every distinct value of column: <PREFIX_1> for the one that comes first by `order`, and so on.
+
+    Values are dealt out by ranges of their first place; counts of the ranges say which number each begins at.
+    """
+    firsts = rows.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("_first"))
+    dealt = firsts.repartitionByRange("_first", "value").withColumn("_p", F.spark_partition_id())
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    bases = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    number = F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy("_first", "value"))
+    return dealt.join(F.broadcast(bases.select("_p", "_base")), "_p").select("value", F.concat(F.lit(f"<{prefix}_"), number.cast("string"), F.lit(">")).alias("token"))
+
+
 def trace_index(events: DataFrame, trace: str = "analysis_trace_id", ts: str = "timestamp", service: str = "tc_service", ordinal: str = "ordinal") -> DataFrame:
     """One row a trace: counts by level, first and last time and ordinal, services. Times compare as text; blanks are never first."""
     when, lv, sv = fx.strip(F.col(ts)), fx.level_bucket(F.col("level")), fx.strip(F.col(service))

@@ -99,10 +99,16 @@ def sample_hash(rows: DataFrame, key: str, most: int, seed: str = "sample") -> D
 
 
 def evenly_select(rows: DataFrame, order: list[Column], n: int, key: str) -> DataFrame:
-    """n rows at even steps of the order, first and last included; fewer rows are all taken."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
+    """n rows at even steps of the order, first and last included; fewer rows are all taken.
+
+    Rows are dealt out by ranges of the order; counts of the ranges say which rank each begins at.
+    """
     total = rows.count()
     if total <= n:
-        return ranked.drop("_i")
+        return rows
     at = sorted({int(round(i * (total - 1) / (n - 1))) if n > 1 else 0 for i in range(n)})
-    return ranked.filter(F.col("_i").isin(at)).drop("_i")
+    dealt = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    bases = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranked = dealt.join(F.broadcast(bases.select("_p", "_base")), "_p").withColumn("_i", F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    return ranked.filter(F.col("_i").isin(at)).drop("_i", "_p", "_base")

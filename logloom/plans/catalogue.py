@@ -230,10 +230,7 @@ def fn11(spark, sf):
 @query("fn13_sequential_tokens", with_sql("""
 , f AS (SELECT tc_user, min(ordinal) AS first FROM ev GROUP BY 1) SELECT tc_user, '<USER_' || row_number() OVER (ORDER BY first) || '>' AS token FROM f"""))
 def fn13(spark, sf):
-    from pyspark.sql import Window
-
-    firsts = adapted(spark, sf).groupBy("tc_user").agg(F.min("ordinal").alias("first"))
-    return firsts.select("tc_user", F.concat(F.lit("<USER_"), F.row_number().over(Window.orderBy("first")).cast("string"), F.lit(">")).alias("token"))
+    return sessions.sequential_tokens(adapted(spark, sf), "tc_user", "ordinal", "USER").withColumnRenamed("value", "tc_user")
 
 
 @query("fn16_tokens", r"""
@@ -391,17 +388,20 @@ def jn1(spark, sf):
 # --- splits and samples
 
 
-@query("wn1_stratified_split", """
+_SPLIT = """
 WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY sha256('salt' || chr(0) || doc_id), doc_id) AS rk, count(*) OVER (PARTITION BY toxic) AS n FROM labels),
 a AS (SELECT *, CAST(floor(n * 70 / 100.0) AS BIGINT) AS t0, CAST(floor(n * 15 / 100.0) AS BIGINT) AS v0, (n * 70) % 100 AS rt, (n * 15) % 100 AS rv FROM r),
 b AS (SELECT *, n - t0 - 2 * v0 AS left_over FROM a),
 c AS (SELECT *, CASE WHEN left_over >= 1 AND rt >= rv THEN 1 WHEN left_over >= 3 THEN 1 ELSE 0 END AS et, CASE WHEN rt >= rv THEN (CASE WHEN left_over >= 2 THEN 1 ELSE 0 END) ELSE (CASE WHEN left_over >= 1 THEN 1 ELSE 0 END) END AS ev FROM b)
-SELECT doc_id, toxic, CASE WHEN rk <= t0 + et THEN 'train' WHEN rk <= t0 + et + v0 + ev THEN 'validation' ELSE 'test' END AS split FROM c""")
+SELECT doc_id, toxic, CASE WHEN rk <= t0 + et THEN 'train' WHEN rk <= t0 + et + v0 + ev THEN 'validation' ELSE 'test' END AS split FROM c"""
+
+
+@query("wn1_stratified_split", _SPLIT)
 def wn1(spark, sf):
     return split.stratified_split(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "toxic", "salt")
 
 
-@query("ag15_contingency")
+@query("ag15_contingency", f"SELECT split, count(*) FILTER (toxic = 0) AS normal, count(*) FILTER (toxic = 1) AS toxic FROM ({_SPLIT}) GROUP BY split")
 def ag15(spark, sf):
     return split.contingency(wn1(spark, sf), "split", "toxic", (0, 1)).select("split", F.col("0").alias("normal"), F.col("1").alias("toxic"))
 
@@ -466,7 +466,11 @@ def wn9(spark, sf):
     return calibrate.best_threshold(scored(spark, sf), "score", F.col("t"))
 
 
-@query("wn9_best_threshold_rounded")
+@query("wn9_best_threshold_rounded", _TABLE + """
+, l AS (SELECT list_prepend({threshold: -1.0::DOUBLE, tp: 0::BIGINT, fp: 0::BIGINT, fn: 0::BIGINT, precision: 0.0::DOUBLE, recall: 0.0::DOUBLE, f1: -1.0::DOUBLE},
+  list({threshold: threshold::DOUBLE, tp: tp::BIGINT, fp: fp::BIGINT, fn: fn::BIGINT, precision: precision::DOUBLE, recall: recall::DOUBLE, f1: coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)::DOUBLE} ORDER BY threshold DESC)) AS l FROM m),
+b AS (SELECT list_reduce(l, lambda a, x: CASE WHEN x.f1 > a.f1 THEN {threshold: x.threshold, tp: x.tp, fp: x.fp, fn: x.fn, precision: x.precision, recall: x.recall, f1: round_even(x.f1, 4)} ELSE a END) AS b FROM l)
+SELECT b.threshold AS threshold, b.tp AS tp, b.fp AS fp, b.fn AS fn, round_even(b.precision, 4) AS precision, round_even(b.recall, 4) AS recall, b.f1 AS f1 FROM b""")
 def wn9r(spark, sf):
     return calibrate.best_threshold_rounded(scored(spark, sf), "score", F.col("t"))
 
@@ -676,7 +680,12 @@ def wn8(spark, sf):
     return localize.scheduler_boost(stats, e.withColumn("message", F.when(F.col("ordinal") % 50 == 0, "scheduler recusou 1 de 2 task").otherwise(F.col("message"))))
 
 
-@query("ag21_evaluation")
+@query("ag21_evaluation", with_sql(_ENTITIES + """
+, rn AS (SELECT tc_trace_id, entity, row_number() OVER (PARTITION BY tc_trace_id ORDER BY mention_errors DESC, callstack_hits DESC, emitter_errors DESC, mention_events DESC, CASE WHEN first_signal_index = 0 THEN 4611686018427387904 ELSE first_signal_index END, entity) AS r FROM es),
+ro AS (SELECT analysis_trace_id AS tc_trace_id, max(tc_service) AS root, max(tc_tenant) AS category FROM tr WHERE analysis_trace_id <> '' GROUP BY 1),
+be AS (SELECT ro.tc_trace_id, category, min(r) FILTER (lower(entity) = lower(root)) AS place FROM ro LEFT JOIN rn USING (tc_trace_id) WHERE lower(trim(root)) NOT IN ({rootless}) GROUP BY 1, 2),
+c AS (SELECT category, count(*) AS cases, count(*) FILTER (place = 1) AS top1, count(*) FILTER (place <= 3) AS top3 FROM be GROUP BY GROUPING SETS ((category), ()))
+SELECT *, coalesce(top1 / nullif(cases, 0), 0) AS top1_rate, coalesce(top3 / nullif(cases, 0), 0) AS top3_rate FROM c""".replace("{rootless}", ", ".join(f"'{x}'" for x in localize.ROOTLESS))))
 def ag21(spark, sf):
     e, stats = entities(spark, sf)
     roots = e.groupBy("tc_trace_id").agg(F.max("tc_service").alias("root"), F.max("tc_tenant").alias("category"))
@@ -697,7 +706,10 @@ def ag13(spark, sf):
     return evidence(spark, sf).select("tc_trace_id", "raw_event_count", "error_count", "warn_count", "tenant_count", "window_start", "window_end", "duration_ms", "entry_service", "first_error_service", "first_error_message")
 
 
-@query("ml21_simple_hypotheses")
+@query("ml21_simple_hypotheses", with_sql("""
+, e AS (SELECT analysis_trace_id AS tc_trace_id, trim(coalesce(arg_min(tc_service, timestamp || lpad(ordinal::VARCHAR, 12, '0')) FILTER (lv = 'ERROR'), '')) AS err, trim(arg_min(tc_service, timestamp || lpad(ordinal::VARCHAR, 12, '0'))) AS entry FROM tr WHERE analysis_trace_id <> '' GROUP BY 1)
+SELECT tc_trace_id, CASE WHEN err <> '' THEN err WHEN entry <> '' THEN entry ELSE '<UNKNOWN_SERVICE>' END AS hypothesis_entity, CASE WHEN err <> '' THEN 'first_error_service' ELSE 'entry_service' END AS hypothesis_source,
+  CASE WHEN err <> '' THEN 'medium_relative' ELSE 'low_relative' END AS relative_confidence FROM e"""))
 def ml21(spark, sf):
     return cause.simple_hypotheses(evidence(spark, sf)).select("tc_trace_id", "hypothesis_entity", "hypothesis_source", "relative_confidence")
 
@@ -860,7 +872,10 @@ def ml15(spark, sf):
     return review.frozen_evaluation(s, F.col("t"), 500, "score", 0.9)
 
 
-@query("ml18_false_positives")
+@query("ml18_false_positives", f"""
+WITH {_SCORES}, r AS (SELECT 'base' AS rule, score >= 0.7 AS p, t FROM s UNION ALL SELECT 'base_and_evidence', score >= 0.7 AND doc_id % 2 = 0, t FROM s UNION ALL SELECT 'revised', score >= 0.9, t FROM s),
+c AS (SELECT rule, count(*) AS n, count(*) FILTER (p AND t) AS tp, count(*) FILTER (NOT p AND NOT t) AS tn, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn FROM r GROUP BY 1)
+SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, (tp + fp) / n AS coverage FROM c""")
 def ml18(spark, sf):
     return review.false_positive_strategies(scored(spark, sf), F.col("t"), "score", 0.7, F.col("doc_id") % 2 == 0, "score", 0.9)
 
@@ -907,3 +922,6 @@ SELECT l_orderkey, count(*) AS events, count(DISTINCT l_suppkey) AS services, co
 def bench_orders(spark, sf):
     l = table(spark, sf, "lineitem")
     return l.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("l_suppkey").alias("services"), F.count_if(F.col("l_returnflag") == "R").alias("errors"), F.count_if(F.col("l_returnflag") == "A").alias("warns"), F.min("l_linenumber").alias("first_ordinal"), F.max("l_linenumber").alias("last_ordinal"))
+
+
+from logloom.plans import files  # noqa: E402, F401  registers its queries

@@ -34,6 +34,16 @@ def with_ordinal(df: DataFrame, name: str = "ordinal", places: tuple[str, ...] =
     return out.withColumn(name, F.col("_base") + F.col("_m") - F.col("_first") + 1).drop(*places, "_m", "_first", "_base")
 
 
+def with_ordinal_by(df: DataFrame, group: str, name: str, places: tuple[str, ...]) -> DataFrame:
+    """df with dense numbers from 1 within each group, in the order of places; every part of a file holds rows of one group."""
+    marked = df.withColumn("_m", F.monotonically_increasing_id())
+    counts = marked.groupBy(group, *places).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = Window.partitionBy(group).orderBy(*places).rowsBetween(Window.unboundedPreceding, -1)  # one row a part of a file
+    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = marked.join(bases.select(group, *places, "_first", "_base"), [group, *places])
+    return out.withColumn(name, F.col("_base") + F.col("_m") - F.col("_first") + 1).drop(*places, "_m", "_first", "_base")
+
+
 def _places() -> list[Column]:
     return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
 
