@@ -22,6 +22,10 @@ SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 OWNER_ROWS = 8192
 
 
+#: Paths that new_path gave.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a new temporary one only where that is unset on one machine (tests). Raises on a cluster without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -49,7 +53,16 @@ def owners_for(df: DataFrame) -> int:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has written under the shared folder with new_path; for when no result is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -97,9 +110,9 @@ def tidied(run):
     return wrapped
 
 
-def own_key(chunk: int) -> int:
-    """The negative key under which a chunk's own row passes the owners: one of 2**30, so that chunks don't meet in a task."""
-    return -1 - ((chunk >> 32) * 1_000_003 + (chunk & 0xFFFFFFFF) * 7_919) % (1 << 30)
+def own_key(chunk: int, piece: int = 0) -> int:
+    """The negative key under which a piece of a chunk's own row passes the owners: one of 2**30, so that they are spread over the tasks."""
+    return -1 - ((chunk >> 32) * 1_000_003 + (chunk & 0xFFFFFFFF) * 7_919 + piece * 15_485_863) % (1 << 30)
 
 
 def strip_spaces(col):

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import arrow, batch, cut, join_hot, own_key, strip_spaces, tidied
+from .common import arrow, batch, bounded, cut, join_hot, own_key, owners_for, strip_spaces, tidied
 
 #: Rows of one chunk: the unit that sends fingerprints and receives bitmaps.
 CHUNK_ROWS = 65_536
-#: Bits of the Bloom filter by which the second scan leaves out texts that can't be suspects (8 MiB; it never grows).
-BLOOM_BITS = 26
+#: Most bits (as a power of two) of the Bloom filter by which the second scan leaves out texts that can't be suspects: 32 MiB. It has a
+#: dozen bits a suspect; past some twenty million suspects it lets more and more texts through that the join then drops.
+BLOOM_BITS = 28
 
 _MESSAGE = "chunk long, owner int, payload binary, ids binary, shas binary, lens binary"
 
@@ -122,16 +123,20 @@ def _bloom_of(col: DataFrame, bits: int) -> golomb.Bloom:
     return made
 
 
-def prune(df: DataFrame, key: str, wanted: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
-    """The rows of df whose long column `key` may be in the one column of wanted; a join must follow for the exact rows."""
+def prune(df: DataFrame, key: str, wanted: DataFrame, size: int, then=None, schema=None) -> DataFrame:
+    """The rows of df whose long column `key` may be in the one column of wanted, which has at most `size` rows; a join must follow for the exact rows.
+
+    then, a function of batches, is applied to them in the same Python worker and gives rows of schema.
+    """
+    bits = min(BLOOM_BITS, max(16, (12 * size).bit_length()))
     shared = df.sparkSession.sparkContext.broadcast(_bloom_of(wanted, bits).table)
 
     def run(batches):
         bloom = golomb.Bloom(bits, shared.value)
-        for b in batches:
-            yield b.filter(pa.array(bloom.has(b.column(key).fill_null(0).to_numpy(zero_copy_only=False))))
+        kept = (b.filter(pa.array(bloom.has(b.column(key).fill_null(0).to_numpy(zero_copy_only=False)))) for b in batches)
+        yield from then(kept) if then else kept
 
-    return df.mapInArrow(tidied(run), df.schema)
+    return df.mapInArrow(tidied(run), schema or df.schema)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,18 +147,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group, and each of them that has the id that stays is marked kept. A null id is taken for the smallest long.
     An empty table gives an empty result; other columns are not looked at. Raises if two texts share a SHA-256.
     """
-    spark = docs.sparkSession
-    owners = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners_for(docs)
     norm = strip_spaces(F.col(text_col))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("row_id")
-    base = docs.select(ids, F.unhex(F.sha2(norm, 256)).alias("sha"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), F.xxhash64(norm).alias("fp"))
+    base = bounded(docs).select(ids, F.unhex(F.sha2(norm, 256)).alias("sha"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), F.xxhash64(norm).alias("fp"))
     sent = base.mapInArrow(_send(owners), _MESSAGE)
     marked = cut(sent.groupBy("owner").applyInArrow(_own, _MESSAGE).groupBy("chunk").applyInArrow(_receive(owners), "row_id long, n int, fp long, sha binary, suspect boolean"), "dedup")
 
     # texts of suspects only, compared whole: the grouping key is the normalised text itself
     suspects = marked.filter("suspect")
     texts = docs.select(ids, norm.alias("norm"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), F.xxhash64(norm).alias("fp"))
-    texts = prune(texts, "fp", suspects.select("fp").distinct())
+    texts = prune(texts, "fp", suspects.select("fp").distinct(), suspects.count())
     big = "18446744073709551616BD"  # 2**64
     rank = F.expr(f"cast(cast(n as decimal(12,0)) * {big} as decimal(38,0)) - cast(row_id as decimal(20,0))")
     grouped = texts.groupBy("norm").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("size"))

@@ -1,14 +1,15 @@
 """Jaccard join of 5-word shingle sets by a size-aware heavy-light join, with connected components of the links.
 
 1. Every text gives its shingle count, a 128-bit key of its set (texts with one key are one class), and fingerprints of its
-   shingles that go, Golomb-coded, to the owners of their ranges. An owner answers how many of each text's shingles some other
-   text has too. To link with anything a set needs three quarters of its shingles shared, so all other texts are done.
+   shingles. A chunk of texts sends its distinct ones, Golomb-coded, to the owners of their ranges; an owner answers with a
+   bitmap of those that some other text has too. To link with anything a set needs three quarters of its shingles shared, so
+   all other texts are done.
 2. One text of each class left sends its full shingles the same way and learns how many classes have each of them.
 3. Candidates. In one order (rarest first) two sets that link share a shingle of their prefixes, and two of the prefixes one
    longer. Small sets enumerate the fixed-size subsets (pairs) of their longer prefix and meet under a common pair; large sets
-   meet under the inverted lists of single prefix shingles, which small sets near the boundary join. The boundary is where the
-   pairs to enumerate begin to cost more than the lists to scan. A list links its members to the least one: lists are never
-   expanded into pairs.
+   meet under the inverted lists of single prefix shingles, which small sets near the boundary join. The boundary is the size
+   where the pairs to enumerate begin to cost more than the lists to scan. A list links its members to the least one: lists are
+   never expanded into pairs.
 4. Components of these candidates bring together whole sets, one copy each; large ones are cut into blocks of sets of like size,
    and every pair of blocks counts overlaps exactly through a local inverted index. What leaves a block is one row a set: its
    number of links and its least partner's root.
@@ -16,17 +17,18 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import arrow, batch, cut, join_hot, own_key, slices, tidied, tidy
+from .common import arrow, batch, bounded, cut, join_hot, own_key, owners_for, slices, tidied, tidy
 from .components import components
 from .exact_dedup import prune
 from .wordhash import shingles, words
@@ -37,10 +39,14 @@ K, PER_CENT = 5, 75
 FP_BITS = 48
 #: A chunk closes at so many texts or shingles.
 CHUNK_TEXTS, CHUNK_SHINGLES = 32_768, 1 << 20
+#: What a chunk keeps for itself passes the owners in pieces of so many bytes.
+PIECE_BYTES = 1 << 16
 #: Sets in a block of step 4.
 BLOCK = 1024
-#: Largest set size up to which enumerating pairs is weighed; above it, lists always cost less.
-MOST_SMALL = 64
+#: Set sizes up to this one are weighed one by one for the boundary, larger ones in classes of eight to a doubling.
+EXACT_SIZES = 64
+#: What an entry in the list of one shingle costs, in entries under pairs: its candidates are more often false and have to be verified.
+LIST_COST = 8
 
 _MESSAGE = "chunk long, owner int, payload binary, extra binary"
 
@@ -68,7 +74,7 @@ def _key(s: np.ndarray) -> tuple[int, int]:
 
 
 class _Sender:
-    """Collects sets, and closes a chunk into one row for itself and one for each owner."""
+    """Collects sets, and closes a chunk into one row for itself and one for each owner: every shingle of the chunk once."""
 
     def __init__(self, owners: int, bits: int, full: bool) -> None:
         self.owners, self.shift, self.full, self.part, self.count = owners, np.uint64(64 - bits), full, TaskContext.get().partitionId(), 0
@@ -90,19 +96,25 @@ class _Sender:
         self.count += 1
         counts = np.array([len(s) for s in self.sets], np.int64)
         every = np.concatenate(self.sets)
-        order = np.argsort(every, kind="stable")
-        h, text = every[order], np.repeat(np.arange(len(counts), dtype=np.uint16), counts)[order]
         base = [np.array([len(counts)], np.int64).tobytes(), np.array(self.ids, np.int64).tobytes(), counts.tobytes()]
         if self.full:
+            distinct, times = np.unique(every, return_counts=True)
             base.append(every.tobytes())
         else:
-            base.append(np.array([_key(s) for s in self.sets], np.int64).reshape(-1, 2).tobytes())
-        out = [(chunk, own_key(chunk), b"".join(base), None)]
-        cuts = np.searchsorted(_owner(h, self.owners), np.arange(self.owners + 1, dtype=np.uint64))
-        for o in range(self.owners):
+            order = np.argsort(every >> self.shift, kind="stable")
+            h, text = every[order], np.repeat(np.arange(len(counts), dtype=np.uint16), counts)[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] >> self.shift != h[:-1] >> self.shift
+            distinct = h[new]
+            times = np.diff(np.append(np.flatnonzero(new), len(h)))
+            base += [np.array([_key(s) for s in self.sets], np.int64).reshape(-1, 2).tobytes(), text.tobytes(), np.packbits(new).tobytes()]
+        own = b"".join(base)
+        out = [(chunk, own_key(chunk, i), own[i : i + PIECE_BYTES], i.to_bytes(8, "big")) for i in range(0, len(own), PIECE_BYTES)]
+        cuts = np.searchsorted(_owner(distinct, self.owners), np.arange(self.owners + 1, dtype=np.uint64))
+        for o in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[o], cuts[o + 1]
-            if b > a:
-                out.append((chunk, o, golomb.encode(h[a:b] >> self.shift), None if self.full else text[a:b].tobytes()))
+            extra = zlib.compress(times[a:b].astype(np.uint32).tobytes(), 1) if self.full else np.packbits(times[a:b] > 1).tobytes()
+            out.append((chunk, o, golomb.encode(distinct[a:b] >> self.shift), extra))
         self.clear()
         return out
 
@@ -135,107 +147,123 @@ def _send_full(owners: int):
 
 
 def _answer(full: bool):
-    """One owner. Not full: for each chunk how many shingles of each text are shared. Full: for each shingle its number of sets."""
+    """One owner, for each chunk. Not full: a bitmap of its shingles that another text has too. Full: for each the number of sets."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return table
         rows = table.to_pylist()
         coded = [golomb.decode(r["payload"]) for r in rows]
-        every = np.concatenate(coded)
-        order = np.argsort(every, kind="stable")
-        new = np.ones(len(every), bool)
-        new[1:] = every[order][1:] != every[order][:-1]
-        group = np.cumsum(new) - 1
-        sizes = np.bincount(group)[group]
-        back = np.empty(len(every), np.int64)
-        back[order] = sizes
+        values, group = np.unique(np.concatenate(coded), return_inverse=True)
+        if full:
+            times = [np.frombuffer(zlib.decompress(r["extra"]), np.uint32) for r in rows]
+        else:
+            times = [np.unpackbits(np.frombuffer(r["extra"], np.uint8), count=len(v)) + 1 for r, v in zip(rows, coded)]
+        total = np.bincount(group, np.concatenate(times), len(values))
         out, at = [], 0
         for r, v in zip(rows, coded):
-            own, at = back[at : at + len(v)], at + len(v)
+            own, at = total[group[at : at + len(v)]], at + len(v)
             if full:
-                data = np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes()
+                data = zlib.compress(np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes(), 1)
             else:
-                data = np.bincount(np.frombuffer(r["extra"], np.uint16)[own > 1]).astype(np.uint32).tobytes()
-            out.append((r["chunk"], r["owner"], zlib.compress(data, 1), None))
-        del coded, every, order, new, group, sizes, back, rows
+                data = np.array([len(v)], np.int64).tobytes() + np.packbits(own > 1).tobytes()
+            out.append((r["chunk"], r["owner"], data, None))
+        del coded, values, group, times, total, rows
         tidy()
         return pa.Table.from_batches([batch(out, _MESSAGE)])
 
     return run
 
 
-def _base(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def _base(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes, list[dict]]:
+    """Of a chunk: ids, counts and what else it kept for itself, and its owners' answers in their order."""
+    rows = table.to_pylist()
+    data = b"".join(r["payload"] for r in sorted((r for r in rows if r["owner"] < 0), key=lambda r: r["extra"]))
+    answers = sorted((r for r in rows if r["owner"] >= 0), key=lambda r: r["owner"])
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    return np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n), data[8 + 16 * n :]
+    return np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n), data[8 + 16 * n :], answers
 
 
 _TEXTS = "doc_id long, n long, key1 long, key2 long, shared long"
 
 
 def _shared_counts(key: tuple, table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    ids, counts, keys = _base(next(r["payload"] for r in rows if r["owner"] < 0))
-    shared = np.zeros(len(ids), np.int64)
-    for r in rows:
-        if r["owner"] >= 0:
-            got = np.frombuffer(zlib.decompress(r["payload"]), np.uint32)
-            shared[: len(got)] += got
-    keys = np.frombuffer(keys, np.int64).reshape(-1, 2)
+    """One chunk: how many shingles of each of its texts some other text has."""
+    ids, counts, rest, answers = _base(table)
+    n, total = len(ids), int(counts.sum())
+    keys, text = np.frombuffer(rest, np.int64, 2 * n).reshape(-1, 2), np.frombuffer(rest, np.uint16, total, 16 * n)
+    new = np.unpackbits(np.frombuffer(rest, np.uint8, -1, 16 * n + 2 * total), count=total)
+    flags = [np.unpackbits(np.frombuffer(r["payload"], np.uint8, -1, 8), count=int(np.frombuffer(r["payload"], np.int64, 1)[0])) for r in answers]
+    flags = np.concatenate([*flags, np.zeros(0, np.uint8)]).astype(bool)
+    shared = np.bincount(text[flags[np.cumsum(new, dtype=np.int64) - 1]], minlength=n) if total else np.zeros(n, np.int64)
     return pa.Table.from_arrays([pa.array(x) for x in (ids, counts, keys[:, 0], keys[:, 1], shared)], schema=arrow(_TEXTS))
 
 
-#: kind 0: a shingle of the prefix, with m how many sets have it; 1: a pair of the longer prefix.
-_SIGNS = "sign long, kind int, cid long, n long, m long"
+#: A set's longer prefix without the shingles that no other set has: how many of it are in the prefix, the shingles, rarest first;
+#: pairs and scan: what enumerating costs, and what the lists of the prefix cost, which are scanned once.
+_PREFIXES = "cid long, n long, one long, prefix binary, pairs long, scan long"
 
 
-def _signatures(owners: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["owner"])
-        ids, counts, data = _base(rows[0]["payload"])
-        every = np.frombuffer(data, np.uint64)
-        order = np.argsort(every, kind="stable")
-        df = np.empty(len(every), np.int64)
-        df[order] = np.concatenate([np.frombuffer(zlib.decompress(r["payload"]), np.uint32) for r in rows[1:]]) if len(rows) > 1 else []
-        sign, kind, cid, size, m = [], [], [], [], []
-        ends = np.cumsum(counts)
-        for c, n, end in zip(ids.tolist(), counts.tolist(), ends.tolist()):
-            s, d = every[end - n : end], df[end - n : end]
-            by = np.lexsort((s, d))
-            p = n - int(_needed(n)) + 1
-            one = by[:p]
-            one = one[d[one] > 1]
-            sign.append(s[one].view(np.int64))
-            m.append(d[one])
-            kinds, k = [0] * len(one), 0
-            if n <= MOST_SMALL and _needed(n) > 1:
-                two = by[: p + 1]
-                two = np.sort(s[two[d[two] > 1]])
-                i, j = np.triu_indices(len(two), 1)
-                sign.append(golomb.mix(golomb.mix(two[i]) ^ two[j]).view(np.int64))
-                k = len(i)
-                m.append(np.ones(k, np.int64))
-            kind += kinds + [1] * k
-            cid.append(np.full(len(one) + k, c))
-            size.append(np.full(len(one) + k, n))
-        del rows, order
-        tidy()
-        if not sign:
-            return arrow(_SIGNS).empty_table()
-        return pa.Table.from_arrays([pa.array(np.concatenate(sign)), pa.array(kind, pa.int32()), pa.array(np.concatenate(cid)), pa.array(np.concatenate(size)), pa.array(np.concatenate(m))], schema=arrow(_SIGNS))
+def _prefixes(key: tuple, table: pa.Table) -> pa.Table:
+    """One chunk: the prefixes of its sets in the order of their shingles' numbers of sets."""
+    ids, counts, data, answers = _base(table)
+    every = np.frombuffer(data, np.uint64)
+    inverse = np.unique(every, return_inverse=True)[1]
+    df = np.concatenate([*(np.frombuffer(zlib.decompress(r["payload"]), np.uint32) for r in answers), np.zeros(0, np.uint32)]).astype(np.int64)[inverse]
+    out = []
+    for c, n, end in zip(ids.tolist(), counts.tolist(), np.cumsum(counts).tolist()):
+        s, d = every[end - n : end], df[end - n : end]
+        by = np.lexsort((s, d))[: n - int(_needed(n)) + 2]
+        p = n - int(_needed(n)) + 1
+        alone = int(np.searchsorted(d[by], 1, "right"))
+        by, one = by[alone:], max(0, p - alone)
+        k = len(by) if _needed(n) > 1 else 0
+        one = min(one, len(by))
+        out.append((c, n, one, s[by].tobytes(), k * (k - 1) // 2, LIST_COST * one))
+    del answers, every, inverse, df
+    tidy()
+    return pa.Table.from_batches([batch(out, _PREFIXES)])
+
+
+#: kind 0: a shingle of the prefix; 1: a pair of the longer prefix.
+_SIGNS = "sign long, kind int, cid long"
+
+
+def _signs(small: int):
+    """Sets of up to `small` shingles under the pairs of their longer prefix; larger ones, and those that a larger one can link to, under single shingles."""
+    single = int(_needed(small + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sign, kind, cid = [], [], []
+            for c, n, one, prefix in zip(*(b.column(x).to_pylist() for x in ("cid", "n", "one", "prefix"))):
+                s = np.frombuffer(prefix, np.uint64)
+                if n >= single:
+                    sign.append(s[:one].view(np.int64))
+                    kind.append(np.zeros(one, np.int32))
+                    cid.append(np.full(one, c))
+                if n <= small and _needed(n) > 1:
+                    two = np.sort(s)
+                    i, j = np.triu_indices(len(two), 1)
+                    sign.append(golomb.mix(golomb.mix(two[i]) ^ two[j]).view(np.int64))
+                    kind.append(np.ones(len(i), np.int32))
+                    cid.append(np.full(len(i), c))
+            if sign:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sign, kind, cid)], schema=arrow(_SIGNS))
 
     return run
 
 
-def boundary(signs: DataFrame) -> int:
+def boundary(prefixes: DataFrame) -> int:
     """The size up to which sets count as small: where pairs to enumerate and lists to scan cost least together."""
-    costs = signs.filter(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("pairs"), F.sum(F.when(F.col("kind") == 0, F.col("m")).otherwise(0)).alias("scan")).collect()
-    pairs, scan = np.zeros(MOST_SMALL + 1), np.zeros(MOST_SMALL + 1)
-    for r in costs:
-        pairs[r["n"]], scan[r["n"]] = r["pairs"], r["scan"]
-    small = np.cumsum(pairs)
-    large = scan.sum() - np.cumsum(scan)
-    return int(np.argmin(small + large))
+    n = F.col("n").cast("double")
+    size = F.when(F.col("n") < EXACT_SIZES, n).otherwise(EXACT_SIZES + F.floor(8 * F.log2(n / EXACT_SIZES))).cast("int")
+    costs = {r["size"]: (float(r["pairs"]), float(r["scan"])) for r in prefixes.groupBy(size.alias("size")).agg(F.sum("pairs").alias("pairs"), F.sum("scan").alias("scan")).collect()}
+    pairs, scan = np.zeros(max(costs, default=0) + 1), np.zeros(max(costs, default=0) + 1)
+    for k, (a, b) in costs.items():
+        pairs[k], scan[k] = a, b
+    best = int(np.argmin(np.cumsum(pairs) + scan.sum() - np.cumsum(scan)))
+    return best if best < EXACT_SIZES else math.ceil(EXACT_SIZES * 2 ** ((best - EXACT_SIZES + 1) / 8)) - 1
 
 
 _LINKS = "cid long, links long, root long"
@@ -324,40 +352,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A text of fewer than five words is one shingle, one without words has none and links to nothing. component_id is the least
     id reachable by links; n_links counts the other rows linked to this one, equal sets included. Null text counts as empty, a
-    null id as the least long. Repeated rows are equal sets. Very long texts are read whole.
+    null id as the least long. Repeated rows are equal sets; rows that share an id but not a text are judged apart,
+    each by its own text. Very long texts are read whole.
     """
-    spark: SparkSession = docs.sparkSession
-    owners = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    owners = owners_for(docs)
+    texts = bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
     sent = texts.mapInArrow(tidied(_send(owners, FP_BITS)), _MESSAGE)
     sets = cut(sent.groupBy("owner").applyInArrow(_answer(False), _MESSAGE).groupBy("chunk").applyInArrow(_shared_counts, _TEXTS), "sets")
 
-    classes = cut(sets.filter("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.max("shared").alias("shared")), "classes")
-    left = classes.filter(F.col("shared") >= F.ceil(F.col("n") * PER_CENT / 100)).select("cid", "n", "copies")
+    # one row a class, numbered once and for all as it is written
+    keys = ["key1", "key2", "n"]
+    classes = sets.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("shared").alias("shared"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    left = classes.filter(F.col("shared") >= F.ceil(F.col("n") * PER_CENT / 100)).select("doc_id", *keys, "cid", "copies")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, raw, off in slices(b, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in _sets(raw, off)], pa.binary())], ["cid", "tokens"])
+                own = _sets(raw, off)
+                both = np.array([_key(s) for s in own], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", *keys, "tokens"])
 
-    tokens = prune(texts, "doc_id", left.select("cid")).mapInArrow(tidied(whole), "cid long, tokens binary")
-    full = cut(tokens.join(left, "cid").filter(F.octet_length("tokens") == 8 * F.col("n")).dropDuplicates(["cid", "tokens"]), "full")
+    tokens = prune(texts, "doc_id", left.select("doc_id"), left.count(), whole, "doc_id long, key1 long, key2 long, n long, tokens binary")
+    full = cut(tokens.join(left, ["doc_id", *keys]).select("cid", "n", "copies", "tokens").dropDuplicates(["cid"]), "full")
 
+    owners = owners_for(full)
     messages = full.select("cid", "tokens").mapInArrow(tidied(_send_full(owners)), _MESSAGE)
-    signs = cut(messages.groupBy("owner").applyInArrow(_answer(True), _MESSAGE).groupBy("chunk").applyInArrow(_signatures(owners), _SIGNS), "signs")
-    small = boundary(signs)
-    # small sets meet under pairs; lists serve large sets and those small ones that a large one can link to
-    used = signs.filter(F.when(F.col("kind") == 1, F.col("n") <= small).otherwise(F.col("n") >= F.ceil(F.lit(PER_CENT * (small + 1)) / 100)))
-    lists = used.groupBy("sign", "kind").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("w")).filter("w > 1")
-    edges = used.select("sign", "kind", F.col("cid").alias("a")).join(lists.select("sign", "kind", "b"), ["sign", "kind"]).select("a", "b")
+    prefixes = cut(messages.groupBy("owner").applyInArrow(_answer(True), _MESSAGE).groupBy("chunk").applyInArrow(_prefixes, _PREFIXES), "prefixes")
+    signs = cut(prefixes.mapInArrow(tidied(_signs(boundary(prefixes))), _SIGNS), "signs")
+    lists = cut(signs.groupBy("sign", "kind").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("w")).filter("w > 1"), "lists")
+    edges = join_hot(signs.withColumnRenamed("cid", "a"), lists, ["sign", "kind"], "w").select("a", "b")
     comps = components(edges)
 
     members = full.join(comps.select(F.col("v").alias("cid"), F.col("root").alias("comp")), "cid")
     checked = cut(_blocks(members, block).groupBy("comp", "one", "two").applyInArrow(_verify, _LINKS), "links")
     counts = checked.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(checked.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    done = classes.join(counts, "cid", "left").join(roots.withColumnRenamed("v", "cid"), "cid", "left")
-    done = cut(done.select("key1", "key2", "n", F.coalesce("root", "cid").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("_w")), "done")
-    linked = join_hot(sets.filter("n > 0").select("doc_id", "key1", "key2", "n"), done, ["key1", "key2", "n"], "_w")
+    named = classes.select("cid", "doc_id").join(roots.withColumnRenamed("v", "cid"), "cid")
+    least = cut(named.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_w")), "least")
+    named = join_hot(named.select("cid", "root"), least, ["root"], "_w").select("cid", "least")
+    done = classes.join(counts, "cid", "left").join(named, "cid", "left")
+    done = cut(done.select(*keys, F.coalesce("least", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("_w")), "done")
+    linked = join_hot(sets.filter("n > 0").select("doc_id", *keys), done, keys, "_w")
     alone = sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.select("doc_id", "n", "component_id", "n_links").unionByName(alone).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
