@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from logloom.llm import golomb
 from logloom.llm.components import components
 from logloom.llm.exact_dedup import exact_dedup
-from logloom.llm.ngram_join import _SIGNS, boundary, jaccard_components
+from logloom.llm.ngram_join import _PREFIXES, boundary, jaccard_components
 
 DOCS = "doc_id long, text string, lang string, _w long, key1 string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,9 +112,19 @@ def test_jaccard_of_nothing_and_of_repeated_rows(spark):
     assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, DOCS)).collect())) == [(2, 2, 2, 3), (5, 2, 2, 3), (5, 2, 2, 3), (5, 2, 2, 3)]
 
 
+def test_rows_with_one_id_are_judged_by_their_texts(spark):
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, near), (5, near + " x"), (5, "something else of five words and more"), (None, "a text with no id of its own"), (None, near + " y"), (7, "something else of five words and more"), (3, "one two")]
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame([(i, t, "en", 1, "k") for i, t in rows], DOCS).repartition(2)).collect())
+    low = -(2**63)
+    assert got == sorted([(1, 36, low, 2), (5, 37, low, 2), (low, 37, low, 2), (5, 3, 5, 1), (7, 3, 5, 1), (low, 4, low, 0), (3, 1, 3, 0)])
+
+
 def test_boundary_weighs_pairs_against_lists(spark):
-    rows = [(i, 1, i, 4, 1) for i in range(3)] + [(9, 0, 1, 4, 100)] + [(i, 1, i, 30, 1) for i in range(900)] + [(8, 0, 1, 30, 50)]
-    assert boundary(spark.createDataFrame(rows, _SIGNS)) in range(4, 30)
+    rows = [(1, 4, 1, b"", 3, 100), (2, 30, 1, b"", 900, 50)]
+    assert boundary(spark.createDataFrame(rows, _PREFIXES)) in range(4, 30)
+    rows = [(1, 4, 1, b"", 3, 100), (2, 300, 1, b"", 10, 5000), (3, 5000, 1, b"", 10**6, 50)]
+    assert boundary(spark.createDataFrame(rows, _PREFIXES)) in range(300, 5000) and boundary(spark.createDataFrame([], _PREFIXES)) == 0
 
 
 def test_components_of_chains_and_stars(spark):

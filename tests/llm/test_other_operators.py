@@ -8,10 +8,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logloom.llm import decontaminate, html_text, licenses, mixing, quality, secrets, token_output, warc
+from logloom.llm.common import cut
 from logloom.llm.queries import PATTERN, RANKS, TOKENIZER
 from logloom.llm.wordhash import words
 
@@ -27,11 +30,10 @@ def docs(spark, rows, parts=3):
 
 def test_token_files_round_trip(spark):
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(["Hello", "wörld,", "it's", "42", "ÉTÉ!", "\U0001f600", "a\x1cb", "<|endoftext|>", "x" * 300]) for _ in range(rng.randrange(40))), "s") for i in range(60, -60, -1)]
+    rows = [(i, " ".join(rng.choice(["Hello", "wörld,", "it's", "42", "ÉTÉ!", "\U0001f600", "a\x1cb", "<|endoftext|>", "<|EndOfText|>", "W\u030a", "T\u0308!", "e\u0301t\u0301,", "don't.'S", "1st\u20e3", "a,b;C3'd", "\u212a9", "\u0130\u017f", "--\x1cx--", "\u4e2d\u6587\u3000x", "x" * 300]) for _ in range(rng.randrange(40))), "s") for i in range(60, -60, -1)]
     rows += [(500, None, "s"), (501, "", "s"), (502, "long " * 40_000, None), (7, "again", "s")]
     got = {(r["doc_id"], r["start"]): r for r in token_output.token_output(docs(spark, rows), TOKENIZER).collect()}
     tok, at = Tokenizer.from_file(TOKENIZER), 0
-    tok.encode_special_tokens = True
     assert len(got) == len(rows)
     want = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, _ in rows]
     seven = [w for w in want if w[0] == 7]
@@ -45,6 +47,42 @@ def test_token_files_round_trip(spark):
         assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aZ's19 .,!\u0301\u030a\xdf\n<|>"))), max_size=6), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_ids_of_any_texts(texts, added):
+    if (TOKENIZER, added) not in _MADE:
+        _MADE[TOKENIZER, added] = token_output.WordIds(TOKENIZER, added), Tokenizer.from_file(TOKENIZER)
+        _MADE[TOKENIZER, added][1].encode_special_tokens = not added
+    made, plain = _MADE[TOKENIZER, added]
+    raw = [t.encode() for t in texts]
+    found = made.texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 7)
+    assert [x.tolist() for x in found] == [[*plain.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
+_MADE = {}
+
+
+def test_words_are_forgotten_but_not_their_ids(monkeypatch):
+    monkeypatch.setattr(token_output, "WORD_BYTES", 2000)
+    made, rng = token_output.WordIds(TOKENIZER), random.Random(2)
+    for _ in range(20):
+        text = " ".join(f"w{rng.randrange(60)}{rng.choice('abc')}" for _ in range(100))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert next(made.texts(raw, np.array([0, len(raw)]), 1))[:-1].tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(made.now) + len(made.before) < 250
+
+
+def test_planes_by_definition():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 8, 100, 1003):
+        ids = rng.integers(0, 2 ** rng.integers(1, 33), n, dtype=np.uint64).astype(np.uint32)
+        found = dict(token_output.planes(ids))
+        for p in range(32):
+            want = np.packbits((ids >> np.uint32(p)) & np.uint32(1), bitorder="little")
+            assert (found[p] == want).all() if want.any() else p not in found
+        assert (token_output.from_planes(found, n) == ids).all()
+
+
 def test_token_files_of_nothing(spark):
     assert token_output.token_output(docs(spark, [], 1), TOKENIZER).collect() == []
 
@@ -106,6 +144,48 @@ def test_salvage_of_plain_files():
     assert [f[0] for f in found] == ["record", "gap", "record"] and found[1][1:4] == (len(r[0]), len(bad), "block digest differs")
 
 
+def test_salvage_of_members_with_several_records():
+    r = [gzip.decompress(m) for m in members(4)]
+    whole = warc.gzip_member(b"".join(r))
+    found = list(warc.salvage(whole))
+    assert [f[0] for f in found] == ["record"] * 4 and {f[1:3] for f in found} == {(0, len(whole))}
+    bad = r[1].replace(b"payload 1", b"pAyload 1", 1)
+    found = list(warc.salvage(warc.gzip_member(r[0] + bad + r[2]) + warc.gzip_member(r[3])))
+    assert [f[0] for f in found] == ["record", "gap", "record", "record"]
+    assert found[1][3] == f"block digest differs (bytes {len(r[0])} to {len(r[0]) + len(bad)} of the member's {len(r[0] + bad + r[2])})"
+
+
+def test_salvage_of_long_junk_is_linear():
+    assert [f[0] for f in warc.salvage(b"WARC/1.1\r\nx" * 100_000)] == ["gap"]
+
+
+def test_files_of_other_attempts_do_not_count(spark, monkeypatch):
+    from logloom.llm import shards
+
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 200) for i in range(40)], "page_id long, url string, html string").repartition(2)
+    folders, new = [], shards.new_folder
+    monkeypatch.setattr(shards, "new_folder", lambda s, label: folders.append(new(s, label)) or folders[-1])
+    files, write = [], warc.write_warc
+
+    def twice(*a):
+        files.append(write(*a).collect())  # an attempt whose files stay
+        return write(*a)
+
+    monkeypatch.setattr(warc, "write_warc", twice)
+    assert sorted(r["page_id"] for r in warc.round_trip(pages).collect()) == list(range(40)) and files[0]
+    written = token_output.write_tokens(docs(spark, [(i, "a b c", "s") for i in range(50)]), new(spark, "tokens"), TOKENIZER)
+    first = cut(written, "files")
+    written.collect()
+    assert sorted((r["doc_id"], r["start"]) for r in token_output.read_tokens(first).collect()) == [(i, 4 * i) for i in range(50)]
+
+
+def test_gaps_are_errors_of_the_round_trip(spark, monkeypatch):
+    put = warc.shards.put
+    monkeypatch.setattr(warc.shards, "put", lambda folder, name, data: put(folder, name, data[:-30]))
+    with pytest.raises(Exception, match="gap in"):
+        warc.round_trip(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")).collect()
+
+
 # decontamination
 
 
@@ -162,6 +242,40 @@ def test_leaks_against_brute_force(spark):
     assert left.columns == docs(spark, rows).columns and {r["doc_id"] for r in left.collect()} == {d for d, _, _ in rows} - {d for d, _ in got}
 
 
+def find(index, texts):
+    raw = [t.encode() for t in texts]
+    return index.search(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+@pytest.mark.parametrize("n", [4, 7, 12, 20, 40, 75, 150])
+def test_recall_at_the_limit_of_edits(n):
+    rng, vocab = random.Random(n), [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 300
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i in range(10)]
+    index = decontaminate.Index(items)
+    for kind in ("change", "insert", "delete", "any"):
+        for before, after in ((0, 80), (80, 80), (80, 0), (0, 0)):
+            texts = []
+            for i in range(50):
+                p = items[i % 10][1].split()
+                for _ in range(n // 4):
+                    k = rng.randrange(len(p))
+                    {"change": lambda: p.__setitem__(k, f"x{rng.randrange(10**6)}"), "insert": lambda: p.insert(k, f"x{rng.randrange(10**6)}"), "delete": lambda: p.pop(k)}[kind if kind != "any" else rng.choice(["change", "insert", "delete"])]()
+                texts.append(" ".join([rng.choice(vocab) for _ in range(before)] + p + [rng.choice(vocab) for _ in range(after)]))
+            got = {(t, i) for t, i, *_ in find(index, texts)}
+            assert sum((i, i % 10) in got for i in range(50)) >= 45, (kind, before, after)
+
+
+def test_leaks_of_texts_shorter_than_items(spark):
+    item = "a " * 30 + " ".join(f"b{i}" for i in range(10))
+    rows = [(1, "a " * 30, "s"), (None, "x y a " + item, "s"), (3, "a " * 29, "s")]
+    bench = spark.createDataFrame([(None, item), (-1, item), (-1, "q r s t u v"), (None, "q r s t u v")], "item_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()), key=str)
+    assert got == sorted([(1, None, 10, 30), (1, -1, 10, 30), (None, None, 0, 43), (None, -1, 0, 43)], key=str)
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs(spark, rows), bench).collect()] == [3]
+    got = sorted((tuple(r) for r in decontaminate.find_leaks(docs(spark, rows), bench, bytes_at_once=50).collect()), key=str)
+    assert len(got) == 4
+
+
 def test_leaks_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs(spark, [(1, "a b", "s")], 1), empty).collect() == []
@@ -208,6 +322,22 @@ def test_mix_against_brute_force(spark):
     assert all(abs(taken[s] - want[s]) <= max(40, 0.02 * want[s]) for s in size)
 
 
+def test_mix_of_null_ids_and_of_tiny_weights(spark):
+    rows = [(None, f"w{i} " * 20, "s") for i in range(3000)] + [(i, f"v{i} " * 20, "t") for i in range(3000)]
+    for weight in (None, F.lit(1e-6), F.lit(0.0)):
+        got = mixing.mix_sources(docs(spark, rows), weights=(1, 2), weight=weight).collect()
+        for ids, share in ((lambda r: r["doc_id"] is None, 1 / 3), (lambda r: r["doc_id"] is not None, 2 / 3)):
+            assert abs(sum(r["taken"] for r in got if ids(r)) - share * 120_000) <= 20
+
+
+def test_quality_weights():
+    b = [t.encode() for t in ("It is a plain text of words.", "$$$ 123 !!!", "", "x" * 400, "\xe9t\xe9 \xe0 la mer")]
+    letters, others, n = mixing.letters_and_words(np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)]))
+    assert n.tolist() == [7, 3, 0, 1, 4] and letters.tolist() == [21, 0, 0, 400, 9] and others.tolist() == [1, 9, 0, 0, 0]
+    w = mixing.quality_weights(letters, others, n)
+    assert w[0] > 0.5 and w[1] == w[2] == mixing.LEAST_WEIGHT and w[3] < 0.1 and w[4] > 0.4
+
+
 def test_mix_favours_weight(spark):
     rows = [(i, "w w w w", "s" if i < 2000 else "t") for i in range(4000)]
     got = mixing.mix_sources(docs(spark, rows), weights=(1, 3), weight=F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0)).filter("doc_id < 2000 and taken > 0").collect()
@@ -244,6 +374,49 @@ def test_quality(spark):
     assert quality.classify(docs(spark, [], 1), marks).collect() == []
 
 
+def test_quality_of_null_ids_and_long_texts(spark):
+    rows = [(None, "some text", "s"), (None, None, "s")] + [(i, ("calm words flow here " if i % 2 else "BUY!! NOW!! ") * (40 if i != 4 else 20_000), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, quality int")
+    got = quality.classify(docs(spark, rows), labels).collect()
+    assert len(got) == 62 and sum(r["doc_id"] is None and r["held_out"] is False for r in got) == 2
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got if r["doc_id"] is not None)
+    assert quality.learn(docs(spark, rows), labels, most_passages=1).keys() == quality.learn(docs(spark, rows), labels, most=3).keys()
+
+
+def test_forward_pass_against_the_formula():
+    rng = np.random.default_rng(4)
+    bags = [rng.normal(size=(n, quality.FEATURES)).astype(np.float32) for n in (1, 5, 2)]
+    m = quality.train(bags * 4, np.array([0, 1, 1] * 4, np.float32), epochs=3)
+    got = quality._forward(m, np.concatenate(bags), np.array([0, 1, 6, 8]))[-1]
+    for bag, p in zip(bags, got):
+        h = [np.tanh((x - m["mean"]) / m["scale"] @ m["W"] + m["b"]) for x in bag]
+        gate = [m["w"] @ (np.tanh(m["V"].T @ x) / (1 + np.exp(-(m["U"].T @ x)))) for x in h]
+        a = np.exp(gate) / sum(np.exp(gate))
+        assert p == pytest.approx(1 / (1 + np.exp(-(sum(w * x for w, x in zip(a, h)) @ m["c"] + m["d"][0]))), abs=1e-5)
+    few = {k: v for k, v in m.items() if k in ("c", "w")}
+    assert all(np.abs(v).max() > 0 for v in few.values())
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(6)
+    bag, y = [rng.normal(size=(n, quality.FEATURES)) for n in (3, 4)], np.array([1.0, 0.0])
+    first, every = np.array([0, 3, 7]), np.concatenate(bag)
+    fixed = {"mean": every.mean(0), "scale": every.std(0) + 0.02}
+    m = {k: rng.normal(0, 0.3, s) for k, s in (("W", (quality.FEATURES, quality.HIDDEN)), ("b", quality.HIDDEN), ("V", (quality.HIDDEN, quality.GATE)), ("U", (quality.HIDDEN, quality.GATE)), ("w", quality.GATE), ("c", quality.HIDDEN), ("d", 1))}
+
+    def loss(m):
+        p = quality._forward(m | fixed, every, first)[-1]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    g = quality.gradients(m, quality._forward(m | fixed, every, first), y, first)
+    for k in m:
+        at = tuple(rng.integers(0, n) for n in m[k].shape)
+        up, down = ({**m, k: m[k].copy()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        assert g[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=1e-3, abs=1e-7)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality.FEATURES)).astype(np.float32) for n in (1, 4, 9, 2, 5, 3)] * 12
@@ -271,6 +444,75 @@ def test_main_text():
     assert html_text.main_text("<article><p>a\xa0 b\n\tc</p></article>") == "a b c"
 
 
+def test_the_passes_decide_without_the_article_element():
+    long = "It was the first of the days that they had in the house by the sea and it was a good day for all of them. " * 3
+    page = f"""<body><div>Home</div><div><a href=x>One link that is rather long</a> and</div><div><h1>A title</h1><p>Short and plain.</p><p>{long}</p><p>Of it.</p><p>{long}</p></div>
+    <div><a href=y>Read the next story of this kind</a> now</div><div>Contact</div></body>"""
+    text = html_text.main_text(page).split("\n")
+    assert text[0] == "A title" and text[1] == "Short and plain." and text[3] == "Of it." and len(text) == 5 and "Home" not in text and "Contact" not in text
+    whole = html_text.main_text(PAGE.replace("<article>", "<div>").replace("</article>", "</div>"))
+    assert whole == html_text.main_text(PAGE)
+
+
+def plain_classes(found):
+    """The rules of both passes as they read, block by block."""
+    out, left = [], [i for i, b in enumerate(found) if not b[2]]
+    marked = any(found[i][4] for i in left)
+    share = {i: (lambda w: sum(x in html_text.STOP_WORDS for x in w) / max(1, len(w)))(re.findall(r"[^\W\d_]+", found[i][0].lower())) for i in left}
+    first = {i: False if found[i][1] > 0.2 * len(found[i][0]) else True if len(found[i][0]) > 200 and share[i] >= 0.32 else None for i in left}
+    if not marked and True in first.values():
+        at = [k for k, i in enumerate(left) if first[i] is not None]
+        for k, i in enumerate(left):
+            if (k < at[0] or k > at[-1]) and len(found[i][0]) < 25 and not found[i][3] and found[i][0][-1].isalnum():
+                first[i] = False
+    for i in range(len(found)):
+        if i not in first:
+            out.append(False)
+            continue
+        if first[i] is not None:
+            out.append(first[i])
+            continue
+        k, sides = left.index(i), []
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(left) and found[left[j]][4] == found[i][4] and first[left[j]] is None:
+                j += step
+            if 0 <= j < len(left) and found[left[j]][4] == found[i][4]:
+                sides.append((abs(j - k), first[left[j]]))
+            elif marked and not found[i][4]:
+                sides.append((abs(j - k), False))
+        near = [good for d, good in sides if d == min(s[0] for s in sides)]
+        n, here = len(found[i][0]), found[i][4] or not marked
+        out.append(True if not sides else sides[-1][1] if found[i][3] else (any(near) if here else all(near)) if n < 70 or 0.01 <= share[i] < 0.2 else any(g for _, g in sides) if share[i] >= 0.2 else all(g for _, g in sides))
+    return out
+
+
+def test_classes_against_the_rules():
+    rng, prose = random.Random(3), "it is the way of the world that they are in it for the sake of others"
+    for _ in range(2000):
+        found, region = [], 0
+        for _ in range(rng.randrange(12)):
+            region = rng.choice([region, region, 0, region + 1])
+            t = rng.choice(["Menu", "So it is.", "Title", prose, prose * 4, "zorp " * 30, "zorp " * 20 + "the of in " * 2, f"zorp the {prose}"])
+            found.append((t, rng.choice([0, 0, 0, len(t)]), rng.random() < 0.1, rng.random() < 0.2, region))
+        assert html_text.classify(found) == plain_classes(found), found
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<div>", '<a "', "<a '\"", "<", "<nav><article>", "</script", "<style a='", "<p>x", "<div></p></section>"])
+def test_bad_pages_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
+
+
+def test_markup_that_only_looks_like_a_name():
+    p = "<p>It is the way of the world.</p>"
+    assert html_text.main_text(f'<article><div data-id="share-1" title="class=ad">{p}</div><div id="related-work"><h2 id="menu">On menus</h2></div></article>') == "It is the way of the world.\nOn menus"
+    assert html_text.main_text(f"<article>{p}<div class='x cookie-notice'>{p}</div><section id=comments>{p}</section></article>") == "It is the way of the world."
+
+
 def test_extract_text(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (1, "u", PAGE), (4, "u", "<article>" + "<p>It is so.</p>" * 20_000)]
     got = html_text.extract_text(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()

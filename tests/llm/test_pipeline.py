@@ -43,8 +43,14 @@ def test_stages(spark, corpus):
     leaked = {r["doc_id"] for r in queries.decontaminate.find_leaks(one, spark.read.parquet(f"{corpus}/benchmark.parquet")).collect()}
     assert clean.columns == columns and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in one.collect()} - leaked and leaked
     mixed = cut(step[names[3]](spark, clean, corpus), "t")
-    want = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(clean).filter("taken > 0").collect()}
-    assert mixed.columns == columns and {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == want
+    want = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    plan, taken = mixing.mix_sources(clean).select("doc_id", "size", "target", "source_size").collect(), {}
+    source = {r["doc_id"]: r["source"] for r in clean.collect()}
+    targets = {source[r["doc_id"]]: r["target"] for r in plan}
+    for r in plan:
+        taken[source[r["doc_id"]]] = taken.get(source[r["doc_id"]], 0) + r["size"] * want.get(r["doc_id"], 0)
+        assert want.get(r["doc_id"], 0) >= (r["target"] // r["source_size"] if r["source_size"] else 0)
+    assert mixed.columns == columns and all(abs(taken[s] - targets[s]) <= 200 for s in targets)
     last = step[names[4]](spark, mixed, corpus).collect()
     assert len(last) == sum(want.values()) and sum(r["n_tokens"] for r in last) == max(r["start"] + r["n_tokens"] for r in last)
     assert sorted(map(tuple, corpus_pipeline.run(spark, corpus).collect())) == sorted(map(tuple, last))
@@ -73,7 +79,54 @@ def test_clashing_columns_in_every_stage(spark, corpus):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, corpus).count() == docs.count()
 
 
+def test_null_and_clashing_ids_in_every_stage(spark, corpus):
+    prose = spark.read.parquet(f"{corpus}/documents.parquet").filter("doc_id < 160")
+    base = [r["text"] for r in prose.filter("doc_id % 2 = 0").collect() if len((r["text"] or "").split()) > 30][:8]
+    rows = [(1, base[0]), (None, base[1]), (None, base[2]), (None, base[2] + " more"), (5, base[3] + " more"), (5, base[3]), (5, base[4]), (7, base[0] + " more"), (7, base[0] + " more"), (None, None), (None, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    stages = dict(corpus_pipeline.STAGES)
+    got = sorted(((r["doc_id"], r["text"]) for r in stages["n-gram Jaccard join"](spark, df, corpus).collect()), key=str)
+    assert len(got) == 8 and [x for x in got if x[0] == 7] == [] and (1, base[0]) in got and (5, base[4]) in got and (None, base[1]) in got and (9, "") in got
+    assert sum(x == (None, None) for x in got) == 2 and sum(x[0] == 5 for x in got) == 2 and sum((x[1] or "").startswith(base[2]) for x in got) == 1
+    for name in ("quality classifier", "benchmark decontamination"):
+        out = stages[name](spark, df, corpus)
+        assert out.columns == df.columns and set(map(str, out.collect())) <= set(map(str, df.collect()))
+    words = sum(len((t or "").split()) for _, t in rows)
+    mixed = stages["mixing sources to target weights"](spark, df, corpus).collect()
+    assert sum(len((r["text"] or "").split()) for r in mixed) == words and len(mixed) == len(rows)  # one source: one epoch, of all rows
+    tokens = stages["token-ID / binary output"](spark, df, corpus).collect()
+    assert len(tokens) == len(rows) and sum(r["doc_id"] == -(2**63) for r in tokens) == 5
+
+
 def test_folder_is_the_sessions(spark):
     from logloom.llm.common import shared_dir
 
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/") and os.path.isdir(shared_dir(spark).removeprefix("file://"))
+
+
+def test_clear_removes_what_was_written(spark):
+    from logloom.llm import common
+
+    kept = cut(spark.range(3), "kept")
+    path = common._WRITTEN[-1].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path)
+    written, common._WRITTEN[:] = common._WRITTEN[:-1], common._WRITTEN[-1:]
+    common.clear(spark)
+    assert not os.path.exists(path) and common._WRITTEN == []
+    common._WRITTEN[:] = written
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from logloom.llm import common
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master, getConf = "spark://x", staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
