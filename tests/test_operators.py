@@ -156,7 +156,7 @@ def test_one_class_machines():
 
 def test_features(spark):
     v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [6.0, 8.0]), (3, [-3.0, -4.0]), (4, [4.0, 3.0])], "k long, v array<float>")
-    near = features.neighbours(v, "k", "v", k=2, blocks=3).filter("key = 1").orderBy("rank").collect()
+    near = features.neighbours(v, "k", "v", k=2, block=2).filter("key = 1").orderBy("rank").collect()
     assert [r["other"] for r in near] == [2, 4] and near[0]["cosine"] == pytest.approx(1.0, abs=1e-6)
     texts = spark.createDataFrame([("a b",), ("a b",), ("c",)], "t string")
     e = {r["t"]: r["vector"] for r in features.embed(texts, "t", features.hash_provider(8)).collect()}
