@@ -108,6 +108,30 @@ def read_zip_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInPandas(run, schema)
 
 
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the matrices in .npy files and of the members of .npz archives: source_file, member (empty in .npy), row (from 0), vector. Pickled objects are refused."""
+    import numpy as np
+
+    def rows(name: str, member: str, x: np.ndarray) -> Iterator[pd.DataFrame]:
+        x = np.atleast_2d(x).astype(np.float64)
+        for i in range(0, len(x), 5000):
+            part = x[i : i + 5000]
+            yield pd.DataFrame({"source_file": name, "member": member, "row": np.arange(i, i + len(part)), "vector": list(part)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                found = np.load(io.BytesIO(content), allow_pickle=False)
+                if isinstance(found, np.ndarray):
+                    yield from rows(name, "", found)
+                else:
+                    for member in sorted(found.files):
+                        yield from rows(name, member, found[member])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").load(path).select("path", "content")
+    return files.mapInPandas(run, "source_file string, member string, row long, vector array<double>")
+
+
 def check_labels(rows: DataFrame, id_col: str = "BlockId", label_col: str = "Label", order: str = "row_no", labels: tuple[str, ...] = ("Normal", "Anomaly"), id_pattern: str = r"^blk_-?\d+$") -> DataFrame:
     """rows with `reason`: null if accepted, else the first that holds of blank, bad_id, bad_label, duplicate, conflict.
 

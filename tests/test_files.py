@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,11 @@ def test_thresholds_by_ranges(spark):
     assert got == {x: (sum(s >= x and t for s, t in rows), sum(s >= x and not t for s, t in rows), sum(s < x and t for s, t in rows)) for x, _ in rows}
     assert calibrate.threshold_table(df.filter("false"), "s", F.col("t")).collect() == []
     assert calibrate.average_precision(df.filter("false"), "s", F.col("t")).collect()[0][0] == 0
+
+
+def test_matrices(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    np.savez(tmp_path / "b.npz", y=np.eye(2), x=np.array([7.0, 8.0]))
+    np.save(tmp_path / "none.npy", np.zeros((0, 2)))
+    got = sorted((r["source_file"].rpartition("/")[2], r["member"], r["row"], list(r["vector"])) for r in readers.read_npy(spark, str(tmp_path)).collect())
+    assert got == [("a.npy", "", 0, [0.0, 1.0]), ("a.npy", "", 1, [2.0, 3.0]), ("a.npy", "", 2, [4.0, 5.0]), ("b.npz", "x", 0, [7.0, 8.0]), ("b.npz", "y", 0, [1.0, 0.0]), ("b.npz", "y", 1, [0.0, 1.0])]
