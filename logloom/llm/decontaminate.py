@@ -35,7 +35,7 @@ PIECE = 3
 WINDOWS = 8_192
 _FILTER_BITS = 20
 #: Bytes of text searched at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: What windows have past their own end, before their text and after it.
 _END, _BEFORE, _AFTER = (np.uint64(x) for x in (0, 1, 2))
 
@@ -126,7 +126,9 @@ class Index:
         of_class = np.array([_length_class(int(n)) if n else 0 for n in lengths], np.int64)
         self.pieces: dict[int, np.ndarray] = {}  # by words of a piece: whether any class has it, a bit for each class
         self.classes: list[dict] = []
-        for k, m in enumerate(sorted(set(of_class.tolist()) - {0})):
+        sizes_there = sorted(set(of_class.tolist()) - {0})
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(sizes_there) <= 8 * t().itemsize or t is np.uint64)
+        for k, m in enumerate(sizes_there):
             own = np.flatnonzero(of_class == m)
             known = np.zeros(1 << _FILTER_BITS, bool)
             sizes = set()
@@ -136,8 +138,8 @@ class Index:
                 e = int(edits * len(w))
                 size = len(w) // (e + 1)
                 q = min(PIECE, size)
-                table = self.pieces.setdefault(q, np.zeros(1 << _FILTER_BITS, np.uint64))
-                table[_runs(w, q)[np.arange(e + 1) * size]] |= np.uint64(1 << min(k, 63))
+                table = self.pieces.setdefault(q, np.zeros(1 << _FILTER_BITS, kind))
+                table[_runs(w, q)[np.arange(e + 1) * size]] |= kind(1 << min(k, 63))
                 sizes.add(q)
             # windows of m words at every place of the items
             count = lengths[own] - m + 1
@@ -194,7 +196,7 @@ class Index:
         for c in self.classes:
             for q in c["sizes"]:
                 at, bits = hits[q]
-                at = at[(bits >> np.uint64(c["bit"])) & np.uint64(1) == 1]
+                at = at[(bits & bits.dtype.type(1 << c["bit"])) != 0]
                 for i in range(0, len(at), WINDOWS):
                     some = at[i : i + WINDOWS]
                     text = text_of[some]

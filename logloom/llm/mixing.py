@@ -10,7 +10,7 @@ sums of ranges tell which range the budget ends in, and only that range's rows a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +38,19 @@ def quality_weights(letters: np.ndarray, others: np.ndarray, words: np.ndarray)
     return np.maximum(LEAST_WEIGHT, share / (1 + np.abs(mean - PROSE_LETTERS) / PROSE_LETTERS))
 
 
-def with_sizes(docs: DataFrame, text_col: str, size: str, weight: str) -> DataFrame:
-    """docs without text_col and with two columns more: the number of words [^\\x20\\x09-\\x0D]+ (null: 0) and the quality weight."""
+#: Weights of many texts at once, from their bytes and offsets.
+Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def with_sizes(docs: DataFrame, text_col: str, size: str, weight: str, weigh: Weigh | None = None) -> DataFrame:
+    """docs without text_col and with two columns more: the number of words [^\\x20\\x09-\\x0D]+ (null: 0) and the quality weight, weigh's if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, raw, off in slices(b, text_col):
                 letters, others, words = letters_and_words(raw, off)
                 kept = [c for c in part.schema.names if c != text_col]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(words), pa.array(quality_weights(letters, others, words))], [*kept, size, weight])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(words), pa.array(weigh(raw, off) if weigh else quality_weights(letters, others, words))], [*kept, size, weight])
 
     fields = [f for f in docs.schema.fields if f.name != text_col]
     return bounded(docs).mapInArrow(tidied(run), T.StructType([*fields, T.StructField(size, T.LongType()), T.StructField(weight, T.DoubleType())]))
@@ -69,18 +73,20 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("water"), F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | Weigh | None = None) -> DataFrame:
     """One row per row of docs: id, size, source_size, target, taken, copies.
 
     Null text has size 0; null sources are one source, the last. Rows with one id and text are taken or left together, others
     apart, whatever their ids (null too). After the prefix, the one document left that brings the source nearest to its target
     is added. Texts without words come with every complete epoch and take nothing. Empty sources have target 0. The draw depends
-    on seed, ids, texts and weights only, so reruns agree. weight: the documents' quality weights, above 0; such of 0 or less
-    come last.
+    on seed, ids, texts and weights only, so reruns agree. weight: the documents' quality weights, above 0, as a column or as
+    a function of texts; such of 0 or less come last.
     """
+    weigh = None if weight is None or isinstance(weight, Column) else weight
+    weight = weight if weigh is None else None
     rid = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     own = [] if weight is None else [weight.cast("double").alias("own")]
-    rows = with_sizes(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), rid.alias("rid"), *own, F.col(text_col).alias("text")), "text", "size", "qw")
+    rows = with_sizes(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), rid.alias("rid"), *own, F.col(text_col).alias("text")), "text", "size", "qw", weigh)
     qw = F.col("qw" if weight is None else "own")
     u = (F.shiftrightunsigned("rid", 11).cast("double") + 0.5) / F.lit(float(2**53))
     key = F.when(qw > 0, F.greatest(-F.log(u) / qw, F.lit(1e-300))).otherwise(F.lit(1e300))

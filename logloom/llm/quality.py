@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,14 +156,20 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return train([np.frombuffer(x, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, _, x in found], np.array([y for _, y, _ in found], np.float32))
 
 
+def scorer(spark: SparkSession, model: dict):
+    """A function of many texts' bytes and offsets, for tasks, that gives their scores. The model has a fixed size and is broadcast."""
+    shared = spark.sparkContext.broadcast(model)
+    return lambda raw, off: score(shared.value, raw, off)
+
+
 def add_score(docs: DataFrame, model: dict, text_col: str = "text", column: str = "score") -> DataFrame:
     """docs with one column more: the chance of label 1. Null and empty texts are scored as one empty passage."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scores = scorer(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, raw, off in slices(b, text_col):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(shared.value, raw, off))], names=[*part.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(raw, off))], names=[*part.schema.names, column])
 
     return bounded(docs).mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
