@@ -67,8 +67,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs, key = _keyed(docs)
     model = quality.learn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))  # labels of all documents, not of those that are left
-    scored = quality.add_score(docs.select(F.col(key).alias("row"), "text", "source"), model, column="score")
-    taken = mixing.mix_sources(scored, id_col="row", weight=F.greatest(F.round("score", 2), F.lit(0.01))).filter("copies > 0")
+    score = quality.scorer(spark, model)
+    rows = docs.select(F.col(key).alias("row"), "text", "source")
+    taken = mixing.mix_sources(rows, id_col="row", weight=lambda raw, off: score(raw, off).round(2).clip(0.01)).filter("copies > 0")
     copies, nth = _new(docs, "_copies"), _new(docs, "_nth")
     taken = cut(taken.select(F.col("row").alias(key), F.col("copies").alias(copies)), "taken")
     out = docs.join(taken, key).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
