@@ -41,10 +41,13 @@ def src14(spark, sf):
 _CSV = "SELECT event_id, CAST(event_id AS {0}) AS id, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(event_type, CASE WHEN event_id % 3 = 0 THEN concat({1}, ' \"quoted\", ', user_id) ELSE '' END) END AS message, CAST(user_id AS {0}) AS tc_user FROM events"
 
 
+def _csv_rows(spark, sf) -> DataFrame:
+    return spark.sql(_CSV.format("STRING", "chr(10)").replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
+
+
 def _csv_tree(spark, sf, compression: str = "none") -> str:
     path = sinks.scratch(spark, "tree")
-    table(spark, sf, "events").createOrReplaceTempView("events")
-    rows = spark.sql(_CSV.format("STRING", "chr(10)"))
+    rows = _csv_rows(spark, sf)
     for name, part in (("a", rows.filter("event_id % 2 = 0")), ("b/c", rows.filter("event_id % 2 = 1"))):
         sinks.write_csv(part.repartitionByRange(2, "event_id").sortWithinPartitions("event_id").drop("event_id"), f"{path}/{name}", compression)
     return path
@@ -91,8 +94,7 @@ def _write_zips(rows: DataFrame, folder: str) -> None:
 @query("src6_zip_csv", f"WITH r AS ({_CSV.format('VARCHAR', 'chr(10)')}) SELECT id, message, tc_user FROM r")
 def src6(spark, sf):
     path = sinks.scratch(spark, "zips")
-    table(spark, sf, "events").createOrReplaceTempView("events")
-    _write_zips(spark.sql(_CSV.format("STRING", "chr(10)")).drop("event_id").repartition(3, "id"), path)
+    _write_zips(_csv_rows(spark, sf).drop("event_id").repartition(3, "id"), path)
     return readers.read_zip_csv(spark, path, ["id", "message", "tc_user"]).drop("source_file")
 
 
