@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, slices, tidied
+from .common import bounded, slices, tidied, tidy
 
 #: Bytes of a passage, trigram buckets, kinds of bytes.
 PASSAGE, BUCKETS, KINDS = 512, 256, 8
 #: The labelled sample to learn from: at most so many documents, and as many of these as have so many passages together (54 MB).
 SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 100_000
+#: Passages of a training step that are worked on at once (a document's stay together).
+STEP_PASSAGES = 8192
 HIDDEN, GATE = 24, 12
 FEATURES = BUCKETS + KINDS + 2
 
@@ -91,25 +93,53 @@ def gradients(m: dict, passed: tuple, y: np.ndarray, first: np.ndarray) -> dict:
     return g
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 5, epochs: int = 25, rate: float = 0.01, batch: int = 64, decay: float = 1e-4) -> dict:
-    """Adam on the log loss of the documents. With no label to learn from, every score is 0.5."""
+def _scales(bags: list[np.ndarray]) -> dict:
+    """Mean and scale of the features of all passages, added row after row as by mean() and std() of one array, which is never made."""
+    n = sum(map(len, bags))
+
+    def total(f) -> np.ndarray:
+        out = np.zeros((1, FEATURES), np.float32)
+        for x in bags:
+            for i in range(0, len(x), STEP_PASSAGES):
+                out = np.concatenate([out, f(x[i : i + STEP_PASSAGES].astype(np.float32))]).sum(0, keepdims=True)
+        return out[0]
+
+    mean = total(lambda x: x) / np.float32(n)
+    return {"mean": mean, "scale": np.sqrt(total(lambda x: np.square(x - mean)) / np.float32(n)) + np.float32(0.02)}
+
+
+def _parts(pick: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """pick in runs of at most `most` passages, of one document at least."""
+    i = 0
+    while i < len(pick):
+        j = i + max(1, int(np.searchsorted(np.cumsum(size[pick[i:]]), most, "right")))
+        yield pick[i:j]
+        i = j
+
+
+def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 5, epochs: int = 25, rate: float = 0.01, batch: int = 64, decay: float = 1e-4, at_once: int = STEP_PASSAGES) -> dict:
+    """Adam on the log loss of the documents. With no label to learn from, every score is 0.5.
+
+    A step's gradient is summed over runs of about at_once passages, so that memory follows these, not the length of texts.
+    """
     rng = np.random.default_rng(seed)
     m = {"W": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "w": rng.normal(0, GATE**-0.5, GATE), "c": np.zeros(HIDDEN), "d": np.zeros(1)}
     m = {k: v.astype(np.float32) for k, v in m.items()}
-    every = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
-    fixed = {"mean": every.mean(0), "scale": every.std(0) + 0.02}
+    fixed = _scales(bags or [np.zeros((1, FEATURES), np.float32)])
     y = y.astype(np.float32)
     if not len(bags):
         return m | fixed
+    size = np.array([len(b) for b in bags])
     one, two, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
         for i in range(0, len(order), batch):
-            pick = order[i : i + batch]
-            count = np.array([len(bags[j]) for j in pick])
-            first = np.concatenate([[0], np.cumsum(count)])
-            passed = _forward(m | fixed, np.concatenate([bags[j] for j in pick]), first)
-            g = gradients(m, passed, y[pick], first)
+            pick, g = order[i : i + batch], {k: 0.0 for k in m}
+            for part in _parts(pick, size, at_once):
+                first = np.concatenate([[0], np.cumsum(size[part])])
+                passed = _forward(m | fixed, np.concatenate([bags[j] for j in part], dtype=np.float32), first)
+                some = gradients(m, passed, y[part], first)
+                g = {k: g[k] + some[k] * np.float32(len(part) / len(pick)) for k in m}
             step += 1
             now = rate * (1 - epoch / epochs)
             for k in m:
@@ -152,8 +182,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("h"), pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["id", "y", "h", "x"])
 
     order = {(r["id"], r["h"]): i for i, r in enumerate(first)}
-    found = sorted((order[r["id"], r["h"]], r["y"], bytes(r["x"])) for r in rows.mapInArrow(tidied(run), "id long, y int, h long, x binary").collect())
-    return train([np.frombuffer(x, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, _, x in found], np.array([y for _, y, _ in found], np.float32))
+    found = rows.mapInArrow(tidied(run), "id long, y int, h long, x binary").toArrow()  # one copy of the sample, half as wide as what a step works on
+    bags = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, FEATURES) for x in found.column("x")]
+    by = sorted(range(len(bags)), key=list(map(order.get, zip(found.column("id").to_pylist(), found.column("h").to_pylist()))).__getitem__)
+    y = found.column("y").to_numpy().astype(np.float32)
+    model = train([bags[i] for i in by], y[by])
+    del bags, found
+    tidy()
+    return model
 
 
 def scorer(spark: SparkSession, model: dict):

@@ -426,6 +426,24 @@ def test_gradient():
     assert ((quality._forward(m, np.concatenate(bags), first)[-1] >= 0.5) == y).mean() > 0.95
 
 
+def test_training_takes_memory_by_steps_not_by_lengths():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    bags = [rng.random((n, quality.FEATURES), np.float32).astype(np.float16) for n in [600] * 64 + [9000]]  # 25 MB
+    y = np.arange(65) % 2
+    tracemalloc.start()
+    quality.train(bags, y, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    short = [b[: 1 + i % 40] for i, b in enumerate(bags)]
+    once, parts = (quality.train(short, y, epochs=2, at_once=n) for n in (10**6, 50))
+    assert all(np.allclose(once[k], parts[k], atol=1e-3) for k in once)
+    every = np.concatenate(short).astype(np.float64)
+    assert np.allclose(once["mean"], every.mean(0), atol=1e-6) and np.allclose(once["scale"], every.std(0) + 0.02, atol=1e-6)
+
+
 # HTML
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a> <a>News</a></nav><!-- <p>no --><script>var a="</p>";</script>
